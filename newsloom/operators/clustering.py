@@ -310,7 +310,8 @@ def prune_members(members: DataFrame, clusters: DataFrame, settings: Settings) -
     ones keep the best member per publisher, then add novel members one per
     round. A round joins the few vectors picked so far to the members and takes
     one ``max_by`` per cluster: nothing is collected per cluster, and a story
-    that holds a third of all rows only means more map-side combining.
+    that holds a third of all rows only means more map-side combining. Each
+    round uses the one before it once, so the plan grows linearly.
     """
     cap = settings.cluster_max_articles
     rel = cosine(F.col("vector"), F.col("centroid"))
@@ -337,27 +338,34 @@ def prune_members(members: DataFrame, clusters: DataFrame, settings: Settings) -
     )
     sizes = pool.groupBy("cluster_id").agg(F.count("*").alias("n"))
     picks = starts.join(sizes, "cluster_id")
+    closest = let(
+        F.col("vector"),
+        lambda v: F.array_max(F.transform("picked", lambda p: cosine(v, p["vector"]))),
+    )
+    value = 0.65 * F.col("rel") + 0.35 * (1.0 - F.col("closest"))
+    free = ~F.exists("picked", lambda p: p["article_id"] == F.col("article_id"))
+    wanted = (F.col("n") > cap) & (F.size("picked") < cap)
     for _ in range(cap - 1):
-        open_clusters = picks.filter((F.col("n") > cap) & (F.size("picked") < cap))
-        nearest_pick = let(
-            F.col("vector"),
-            lambda v: F.array_max(F.transform("picked", lambda p: cosine(v, p["vector"]))),
-        )
-        rest = (
-            pool.join(open_clusters.select("cluster_id", "picked"), "cluster_id")
-            .filter(~F.exists("picked", lambda p: p["article_id"] == F.col("article_id")))
-            .withColumn("closest", nearest_pick)
-            .filter(F.col("closest") < settings.redundancy_threshold)
-        )
-        value = 0.65 * F.col("rel") + 0.35 * (1.0 - F.col("closest"))
-        chosen = rest.groupBy("cluster_id").agg(
-            F.max_by(pick, F.struct(value.alias("v"), "rel", (-F.col("article_id")).alias("o"))).alias("c")
+        # Clusters without a candidate keep their picks: every member joins, and
+        # only candidates have an order for max_by to compare.
+        state = pool.join(picks, "cluster_id").withColumn("closest", F.when(wanted & free, closest))
+        order = F.when(
+            F.col("closest") < settings.redundancy_threshold,
+            F.struct(value.alias("v"), "rel", (-F.col("article_id")).alias("o")),
         )
-        picks = picks.join(chosen, "cluster_id", "left").select(
-            "cluster_id",
-            "n",
-            F.when(F.col("c").isNull(), F.col("picked"))
-            .otherwise(F.concat("picked", F.array("c"))).alias("picked"),
+        picks = (
+            state.groupBy("cluster_id")
+            .agg(
+                F.any_value("n").alias("n"),
+                F.any_value("picked").alias("picked"),
+                F.max_by(pick, order).alias("c"),
+            )
+            .select(
+                "cluster_id",
+                "n",
+                F.when(F.col("c").isNull(), F.col("picked"))
+                .otherwise(F.concat("picked", F.array("c"))).alias("picked"),
+            )
         )
     kept = picks.filter(F.col("n") > cap).select(
         "cluster_id", F.explode(F.col("picked.article_id")).alias("article_id"), F.lit(True).alias("chosen")

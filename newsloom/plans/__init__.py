@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("ingest", "lists")
+MODULES = ("ingest", "lists", "stories")
 
 
 def load_registry():

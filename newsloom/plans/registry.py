@@ -20,6 +20,7 @@ class Query:
 
 
 REGISTRY: dict[str, Query] = {}
+NAMES = r"\bv_\w+\b"
 
 
 def query(name: str, sql: str | None = None):
@@ -61,7 +62,7 @@ def oracle(sql: str) -> str:
     needed: list[str] = []
 
     def visit(text: str, own: str = "") -> None:
-        for view in dict.fromkeys(re.findall(r"\bv_\w+\b", text)):
+        for view in dict.fromkeys(re.findall(NAMES, text)):
             if view in VIEW_SQL and view not in needed and view != own:
                 visit(VIEW_SQL[view], view)
                 needed.append(view)
@@ -70,7 +71,10 @@ def oracle(sql: str) -> str:
     body = sql.strip()
     own = ""
     match = re.match(r"WITH\s+(?:RECURSIVE\s+)?", body)
-    views = [f"{v} AS ({VIEW_SQL[v]})" for v in needed]
+    # A view that names itself is recursive; the others are computed once.
+    views = [
+        f"{v} AS {'' if v in re.findall(NAMES, VIEW_SQL[v]) else 'MATERIALIZED '}({VIEW_SQL[v]})" for v in needed
+    ]
     if match:
         own = body[match.end():]
         return "WITH RECURSIVE " + ",\n".join([*views, own])

@@ -17,6 +17,7 @@ from newsloom.functions.text import word_count
 from newsloom.functions.vectors import cosine
 from newsloom.operators import clustering, evidence, features, preferences, retrieval
 from newsloom.operators.analytics import NODE_COUNTERS, visitor_hash
+from newsloom.session import cut_lineage
 from newsloom.settings import Settings
 from newsloom.sources.tables import read_table
 
@@ -45,7 +46,12 @@ def pick(values, at):
 
 
 class Views:
-    """Lazy views over one folder of tables."""
+    """Views over one folder of tables.
+
+    Most are lazy. What a deployment stores between its steps (clusters, their
+    members and chunks, claim pairs and links) is written out once here too, so
+    that a query over them plans and runs from the stored rows.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -239,7 +245,7 @@ class Views:
         first = self.articles.select(
             "article_id", F.col("title").alias("representative_title"), F.col("rss_summary").alias("event_summary")
         )
-        return (
+        return cut_lineage(
             means.withColumn("article_id", c * 8)
             .join(first, "article_id", "left")
             .select(
@@ -255,8 +261,10 @@ class Views:
 
     @cached_property
     def members(self) -> DataFrame:
-        return clustering.prune_members(
-            self.vectors.withColumnRenamed("story_id", "cluster_id"), self.clusters, SETTINGS
+        return cut_lineage(
+            clustering.prune_members(
+                self.vectors.withColumnRenamed("story_id", "cluster_id"), self.clusters, SETTINGS
+            )
         )
 
     @cached_property
@@ -271,7 +279,7 @@ class Views:
     @cached_property
     def cluster_chunks(self) -> DataFrame:
         active = self.members.filter("relationship = 'coverage'").select("cluster_id", "article_id")
-        return self.chunks.join(active, "article_id")
+        return cut_lineage(self.chunks.join(active, "article_id"))
 
     @cached_property
     def claims(self) -> DataFrame:
@@ -306,7 +314,7 @@ class Views:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return evidence.select_pairs(evidence.claim_pairs(self.claims, self.members), SETTINGS)
+        return cut_lineage(evidence.select_pairs(evidence.claim_pairs(self.claims, self.members), SETTINGS))
 
     @cached_property
     def raw_links(self) -> DataFrame:
@@ -330,11 +338,11 @@ class Views:
     @cached_property
     def links(self) -> DataFrame:
         both = F.col("left_claim_id") + F.col("right_claim_id")
-        return evidence.valid_links(self.raw_links, self.pairs).select(
+        return cut_lineage(evidence.valid_links(self.raw_links, self.pairs).select(
             "*",
             (self.as_of - F.make_dt_interval(F.lit(0), (both % 700).cast("int"))).alias("created_at"),
             (self.as_of + F.make_dt_interval((both % 11 - 5).cast("int"))).alias("expires_at"),
-        )
+        ))
 
     @cached_property
     def feed_items(self) -> DataFrame:
