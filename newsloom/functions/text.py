@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
-WORD = f"[^{SPACE}]+"
+# The same characters as plain text, for trimming.
+SPACE_CHARACTERS = "".join(
+    chr(c)
+    for c in [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
 TERM = "[a-z0-9]+"
 
 
@@ -34,16 +39,20 @@ def fold(x: Column) -> Column:
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(x, F.lit(SPACE_CHARACTERS))
 
 
 def words(x: Column) -> Column:
-    return F.regexp_extract_all(x, F.lit(WORD), F.lit(0))
+    return F.filter(F.split(x, f"[{SPACE}]+"), lambda w: w != "")
 
 
 def word_count(x: Column) -> Column:
-    """Number of words; 0 for null."""
-    return F.coalesce(F.regexp_count(x, F.lit(WORD)), F.lit(0))
+    """Number of words; 0 for null. Splitting is several times faster than
+    matching words; the empty pieces at blank ends are taken off again."""
+    blank = f"^[{SPACE}]?$"
+    open_end = F.left(x, F.lit(1)).rlike(blank).cast("int")
+    tail = F.right(x, F.lit(1)).rlike(f"^[{SPACE}]$").cast("int")
+    return F.coalesce(F.size(F.split(x, f"[{SPACE}]+")) - open_end - tail, F.lit(0))
 
 
 def collapse(x: Column) -> Column:

@@ -75,7 +75,7 @@ def canonical_query(raw: Column) -> Column:
     kept = F.filter(pairs, lambda kv: ~F.lower(kv["k"]).isin(*TRACKING_PARAMETERS))
     return F.array_join(
         F.transform(
-            F.array_sort(kept), lambda kv: F.concat(_encode(kv["k"]), F.lit("="), _encode(kv["v"]))
+            F.sort_array(kept), lambda kv: F.concat(_encode(kv["k"]), F.lit("="), _encode(kv["v"]))
         ),
         "&",
     )

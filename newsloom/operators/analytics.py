@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import clock
+from newsloom.functions.text import round_to
 
 # The steps of a run and the counters each reports about itself.
 # ``load_settings``, ``expand_sources``, ``supplement`` and ``finalize`` have their own rules.
@@ -172,7 +173,10 @@ def run_metrics(runs: DataFrame, steps: DataFrame) -> DataFrame:
         F.inline(
             F.array(
                 F.struct(F.lit("run.wall_clock_seconds").alias("metric"), F.col("wall_seconds").alias("value")),
-                F.struct(F.lit("run.selected_articles"), F.col("selected_count").cast("double")),
+                F.struct(
+                    F.lit("run.selected_articles").alias("metric"),
+                    F.col("selected_count").cast("double").alias("value"),
+                ),
             )
         ),
     )
@@ -199,7 +203,7 @@ def run_summary_pivot(metrics: DataFrame, chosen: DataFrame, n: int) -> DataFram
     ``chosen`` are the ``n`` runs of ``latest_runs``; their place (1 to n) names
     the column, so the pivot has a fixed width and needs no look at the data.
     """
-    places = F.array_sort(F.collect_list("run_id"))
+    places = F.sort_array(F.collect_list("run_id"))
     slots = chosen.agg(places.alias("ids")).select(F.posexplode("ids").alias("_i", "run_id"))
     slotted = metrics.join(F.broadcast(slots), "run_id").withColumn("slot", F.col("_i") + 1)
     wide = slotted.groupBy("metric").pivot("slot", list(range(1, n + 1))).agg(F.first("value"))
@@ -224,7 +228,7 @@ def model_call_rollup(calls: DataFrame, grouping: str = "groupBy") -> DataFrame:
         F.count("*").alias("request_count"),
         F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"),
         F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
-        F.round(F.coalesce(F.sum("elapsed_ms"), F.lit(0.0)), 1).alias("elapsed_ms"),
+        round_to(F.coalesce(F.sum("elapsed_ms"), F.lit(0.0)), 1).alias("elapsed_ms"),
     )
 
 

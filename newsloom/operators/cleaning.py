@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import LINE_END, WORD, fold, let, strip
+from newsloom.functions.text import LINE_END, fold, let, strip, word_count
 
 # Lines that are navigation, not text.
 NOISE_LINES = (
@@ -59,19 +59,19 @@ def clean_text(text: Column) -> Column:
                 f.alias("folded"),
                 i.alias("pos"),
                 line.alias("line"),
-                F.regexp_count(line, F.lit(WORD)).alias("words"),
+                word_count(line).alias("words"),
             ),
         ),
     )
 
     def noise(row: Column) -> Column:
-        label = F.regexp_replace(row["folded"], "^[ :]+|[ :]+$", "")
+        label = F.btrim(row["folded"], F.lit(" :"))
         prefixed = F.lit(False)
         for prefix in NOISE_PREFIXES:
             prefixed = prefixed | label.startswith(prefix)
         return (
             label.isin(*NOISE_LINES, *NOISE_HEADINGS)
-            | row["line"].rlike(DURATION)
+            | ((F.length(row["line"]) <= 8) & row["line"].rlike(DURATION))
             | prefixed
         )
 
@@ -87,8 +87,8 @@ def clean_text(text: Column) -> Column:
 
         return F.filter(rows, lonely)
 
-    kept = let(F.array_sort(described), keep)
-    in_order = F.array_sort(
+    kept = let(F.sort_array(described), keep)
+    in_order = F.sort_array(
         F.transform(kept, lambda r: F.struct(r["pos"].alias("pos"), r["line"].alias("line")))
     )
     return F.array_join(F.transform(in_order, lambda r: r["line"]), "\n\n")

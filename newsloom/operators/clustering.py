@@ -282,7 +282,7 @@ def centroids_of(members: DataFrame) -> DataFrame:
         .groupBy("cluster_id", "dim")
         .agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("*").alias("n"))
     )
-    rows = F.array_sort(F.collect_list(F.struct("dim", (F.col("s") / F.col("n")).alias("x"))))
+    rows = F.sort_array(F.collect_list(F.struct("dim", (F.col("s") / F.col("n")).alias("x"))))
     return sums.groupBy("cluster_id").agg(
         F.transform(rows, lambda r: r["x"]).alias("centroid"), F.max("n").alias("n_members")
     )

@@ -25,7 +25,7 @@ def shown_text(articles: DataFrame, retrieved: DataFrame) -> DataFrame:
     """What the extractor saw: an article's retrieved chunks in order, else its text.
     At most ``retrieval_chunk_limit`` chunks per cluster exist."""
     parts = retrieved.groupBy("article_id").agg(
-        F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text"))).alias("rows")
+        F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_text"))).alias("rows")
     )
     joined = F.array_join(F.transform("rows", lambda r: r["chunk_text"]), "\n\n")
     return articles.join(parts, "article_id", "left").select(
@@ -66,7 +66,8 @@ def claim_pairs(claims: DataFrame, members: DataFrame) -> DataFrame:
     a story of any size yields at most 9,000 pairs.
     """
     active = members.filter("relationship = 'coverage'").select("cluster_id", "article_id", "publisher_id")
-    side = claims.join(active, ["cluster_id", "article_id"]).select(
+    own = claims.select("cluster_id", "article_id", "claim_id", "claim_text", "vector")
+    side = own.join(active, ["cluster_id", "article_id"]).select(
         "cluster_id", "article_id", "claim_id", "publisher_id", "vector",
         norm(F.col("vector")).alias("length"),
         F.array_distinct(terms(F.col("claim_text"))).alias("terms"),

@@ -59,7 +59,7 @@ def coverage_ledger(decisions: DataFrame, evidence: DataFrame, settings: Setting
         )
 
     rows = cited.groupBy("run_id", "area").agg(
-        F.array_sort(F.collect_list(F.struct("iteration", "needed", "cited"))).alias("rows"),
+        F.sort_array(F.collect_list(F.struct("iteration", "needed", "cited"))).alias("rows"),
         F.max(F.when(F.col("iteration") == 1, F.col("needed"))).alias("target"),
     )
     target = F.coalesce("target", F.lit(False))
@@ -67,7 +67,7 @@ def coverage_ledger(decisions: DataFrame, evidence: DataFrame, settings: Setting
         "run_id",
         "area",
         target.alias("is_target"),
-        F.when(target, F.array_sort("end.ids")).otherwise(empty).alias("evidence_ids"),
+        F.when(target, F.sort_array("end.ids")).otherwise(empty).alias("evidence_ids"),
         (target & F.col("end.satisfied")).alias("satisfied"),
     )
 
@@ -150,7 +150,7 @@ def supported_statements(
             ).alias("row"),
         )
     )
-    walks = candidates.groupBy("run_id").agg(F.array_sort(F.collect_list("row")).alias("rows")).join(
+    walks = candidates.groupBy("run_id").agg(F.sort_array(F.collect_list("row")).alias("rows")).join(
         budgets.select("run_id", "word_budget"), "run_id"
     )
     start = F.struct(F.lit(0).alias("used"), F.slice("rows", 1, 0).alias("kept"))
@@ -167,12 +167,12 @@ def supported_statements(
 
 def assemble_cards(kept: DataFrame, cards: DataFrame) -> DataFrame:
     """H6. One card per draft card that kept a statement, renumbered from 1."""
-    parts = F.array_sort(F.collect_list(F.struct("statement_index", "text")))
+    parts = F.sort_array(F.collect_list(F.struct("statement_index", "text")))
     built = kept.groupBy("run_id", "card_index").agg(
         F.array_join(F.transform(parts, lambda r: r["text"]), "\n\n").alias("summary_text"),
         F.count("*").alias("n_statements"),
     )
-    places = built.groupBy("run_id").agg(F.array_sort(F.collect_set("card_index")).alias("order"))
+    places = built.groupBy("run_id").agg(F.sort_array(F.collect_set("card_index")).alias("order"))
     return (
         built.join(places, "run_id")
         .join(cards.select("run_id", "card_index", "card_type", "heading"), ["run_id", "card_index"])

@@ -45,7 +45,7 @@ def cluster_detail(
         return (
             df.join(wanted, "cluster_id", "left_semi")
             .groupBy("cluster_id")
-            .agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+            .agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
         )
 
     return (

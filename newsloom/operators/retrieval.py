@@ -180,7 +180,7 @@ def cluster_query(clusters: DataFrame, members: DataFrame, articles: DataFrame)
         members.filter("relationship = 'coverage'")
         .join(articles.select("article_id", "title"), "article_id")
         .groupBy("cluster_id")
-        .agg(F.array_sort(F.collect_list(F.struct("article_id", "title"))).alias("rows"))
+        .agg(F.sort_array(F.collect_list(F.struct("article_id", "title"))).alias("rows"))
     )
     parts = F.filter(
         F.concat(

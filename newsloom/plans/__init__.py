@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("ingest", "lists", "stories")
+MODULES = ("ingest", "lists", "stories", "runs", "quality", "reports")
 
 
 def load_registry():

@@ -151,7 +151,7 @@ def b6(v):
     out = features.hard_filter(v.articles, CHOOSY, v.as_of)
     return out.select(
         "article_id",
-        F.array_join(F.array_sort("rejections"), ",").alias("reasons"),
+        F.array_join(F.sort_array("rejections"), ",").alias("reasons"),
         (F.size("rejections") == 0).alias("accepted"),
     )
 

@@ -249,7 +249,7 @@ SELECT d.{group}, d.{doc}, coalesce(s.score, 0) AS score FROM {docs} d LEFT JOIN
       / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / CASE WHEN avg_dl = 0 THEN 1 ELSE avg_dl END))) AS score
   FROM (SELECT *, count(*) OVER (PARTITION BY {group}, term) AS df FROM (
     SELECT {group}, {doc}, dl, term, count(*) AS tf FROM (
-      SELECT {group}, {doc}, len({tokens}) AS dl, unnest({tokens}) AS term FROM {docs})
+      SELECT {group}, {doc}, len(t) AS dl, unnest(t) AS term FROM (SELECT {group}, {doc}, {tokens} AS t FROM {docs}))
     JOIN (SELECT DISTINCT {group}, unnest({tokens}) AS term FROM {queries}) USING ({group}, term) GROUP BY ALL))
   JOIN (SELECT {group}, count(*) AS n_docs, avg(len({tokens})) AS avg_dl FROM {docs} GROUP BY {group}) USING ({group})
   GROUP BY {group}, {doc}) s ON s.{group} = d.{group} AND s.{doc} = d.{doc}"""
@@ -418,7 +418,7 @@ def f10(v):
     url = F.concat(F.lit("https://pub.example.com/"), F.col("publisher_id"))
     stored = retrieval.collect_excerpt(
         base.filter("source_id = 3").select(
-            F.explode(F.sequence(F.lit(0), F.lit(9))).cast("bigint").alias("run_id"),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint"))).alias("run_id"),
             F.col("article_id").alias("found_order"), url.alias("url"), F.col("content_text").alias("text"),
         ),
         None, 40,
