@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("ingest", "lists", "stories", "runs", "quality", "reports")
+MODULES = ("ingest", "lists", "stories", "runs", "quality", "reports", "streams")
 
 
 def load_registry():
