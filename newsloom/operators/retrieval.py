@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import SPACE, let, terms, words
 from newsloom.functions.vectors import cosine, unit_interval
+from newsloom.session import cut_lineage
 from newsloom.settings import Settings
 
 # Okapi BM25.
@@ -86,37 +87,43 @@ def chunk_text(
 def bm25(docs: DataFrame, queries: DataFrame, group: list[str], doc: list[str], text: str = "text") -> DataFrame:
     """F3. Okapi BM25 of every document against its group's query.
 
-    ``docs(*group, *doc, text)``, ``queries(*group, text)``; the corpus is the
-    group and query terms count once. Tokens meet the query terms on (group,
-    term) before anything is aggregated, so a big group spreads over its terms
-    and only matching terms are counted.
+    ``docs(*group, *doc, text)``, ``queries(*group, text)``, one query per group;
+    the corpus is the group and query terms count once. Groups without a query
+    are not searched.
+
+    Text is tokenised once: tokens meet the query terms on (group, term) and only
+    matches are counted and stored, with one empty term per document that carries
+    its length. The three statistics then read that small table. A big group
+    spreads over its terms, and the query side alone may be broadcast.
     """
-    asked = queries.select(*group, F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
-    tokenized = docs.select(*group, *doc, terms(F.col(text)).alias("tokens")).withColumn(
-        "dl", F.size("tokens")
+    asked = queries.select(
+        *group, F.explode(F.array_union(F.array(F.lit("")), terms(F.col(text)))).alias("term")
+    )
+    tokens = (
+        docs.select(*group, *doc, terms(F.col(text)).alias("tokens"))
+        .select(*group, *doc, F.size("tokens").alias("dl"),
+                F.explode(F.concat(F.array(F.lit("")), F.col("tokens"))).alias("term"))
     )
-    lengths = tokenized.select(*group, *doc, "dl")
-    stats = lengths.groupBy(*group).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    tf = (
-        tokenized.select(*group, *doc, "dl", F.explode("tokens").alias("term"))
-        .join(asked, [*group, "term"])
+    counts = cut_lineage(
+        tokens.join(asked, [*group, "term"], "left_semi")
         .groupBy(*group, *doc, "dl", "term")
         .agg(F.count("*").alias("tf"))
     )
-    df = tf.groupBy(*group, "term").agg(F.count("*").alias("df"))
+    members = counts.filter("term = ''").select(*group, *doc, "dl")
+    hits = counts.filter("term <> ''")
+    stats = members.groupBy(*group).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    df = hits.groupBy(*group, "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     average = F.when(F.col("avg_dl") == 0, 1.0).otherwise(F.col("avg_dl"))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))
     scores = (
-        tf.join(df, [*group, "term"])
+        hits.join(df, [*group, "term"])
         .join(stats, group)
         .groupBy(*group, *doc)
         .agg(F.sum(weight).alias("hit"))
     )
-    return (
-        lengths.drop("dl")
-        .join(scores, [*group, *doc], "left")
-        .select(*group, *doc, F.coalesce("hit", F.lit(0.0)).alias("score"))
+    return members.join(scores, [*group, *doc], "left").select(
+        *group, *doc, F.coalesce("hit", F.lit(0.0)).alias("score")
     )
 
 
@@ -287,15 +294,17 @@ def best_excerpt(
     """
     pieces = documents.select(
         "doc_id", F.inline(windows(F.col("text"), target_words, min(60, target_words // 4)))
-    ).select("doc_id", "chunk_index", F.col("chunk_text").alias("text"))
-    scored = bm25(pieces, queries, ["doc_id"], ["chunk_index"])
-    best = scored.groupBy("doc_id").agg(
-        F.max_by("chunk_index", F.struct(F.round("score", 9).alias("s"), (-F.col("chunk_index")).alias("o")))
-        .alias("chunk_index")
-    )
-    return pieces.join(best, ["doc_id", "chunk_index"]).select(
-        "doc_id", "chunk_index", F.col("text").alias("excerpt")
+    ).withColumnRenamed("chunk_text", "text")
+    place = ["chunk_index", "character_start", "character_end"]
+    order = F.struct(F.round("score", 9).alias("s"), (-F.col("chunk_index")).alias("o"))
+    best = (
+        bm25(pieces, queries, ["doc_id"], place)
+        .groupBy("doc_id")
+        .agg(F.max_by(F.struct(*place), order).alias("b"))
+        .select("doc_id", "b.*")
     )
+    excerpt = F.substring("text", F.col("character_start") + 1, F.col("character_end") - F.col("character_start"))
+    return documents.join(best, "doc_id").select("doc_id", "chunk_index", excerpt.alias("excerpt"))
 
 
 def collect_excerpt(found: DataFrame, stored: DataFrame | None, max_words: int) -> DataFrame:

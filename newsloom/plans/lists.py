@@ -11,6 +11,7 @@ from newsloom.functions import clock
 from newsloom.functions.text import fingerprint, round_to
 from newsloom.operators import features, preferences, scoring
 from newsloom.plans.registry import query
+from newsloom.session import cut_lineage
 from newsloom.plans.views import AS_OF_SQL, SETTINGS, VIEW_SQL, Views, fold_sql, r
 
 # Settings with preferences, to exercise the configured parts of the score.
@@ -68,8 +69,9 @@ walk_sql(
 
 def candidates(v: Views, selectable_only: bool = True) -> DataFrame:
     scored = scoring.article_scores(v.eligible, SETTINGS, v.as_of)
-    own = features.article_features(v.eligible)
-    return scoring.score_candidates(v.targets, scored, own, v.preferences, SETTINGS, selectable_only)
+    return scoring.score_candidates(
+        v.targets, scored, v.eligible_features, v.preferences, SETTINGS, selectable_only
+    )
 
 
 def daily_list(v: Views, order: str = "graph") -> DataFrame:
@@ -77,6 +79,14 @@ def daily_list(v: Views, order: str = "graph") -> DataFrame:
     return scoring.budgeted_select(candidates(v, selectable_only=order == "graph"), order)
 
 
+def explained(v: Views, rows: DataFrame) -> DataFrame:
+    """The reason step reads its rows twice, so they are stored first."""
+    scored = scoring.article_scores(v.eligible, SETTINGS, v.as_of)
+    return scoring.selection_reasons(
+        cut_lineage(rows), v.targets, scored, v.eligible_features, v.preferences, SETTINGS
+    )
+
+
 # --- B --------------------------------------------------------------------------
 
 @query("b1_reading_minutes", "SELECT article_id, greatest(1, ceil(word_count / 225.0))::BIGINT AS reading_minutes FROM v_articles")
@@ -323,7 +333,7 @@ def c5(v):
 
 @query("c6_personalization", "SELECT user_id, article_id, personalization_score, personal_reason FROM v_personal")
 def c6(v):
-    return scoring.personalization(features.article_features(v.eligible), v.preferences, SETTINGS)
+    return scoring.personalization(v.eligible_features, v.preferences, SETTINGS)
 
 
 @query(
@@ -332,7 +342,7 @@ def c6(v):
 SELECT user_id, article_id, reading_minutes, total_score, base_score, personalization_score, freshness_score, length_score, selection_reason FROM v_totals""",
 )
 def c7(v):
-    return candidates(v, selectable_only=False).select(
+    return explained(v, candidates(v, selectable_only=False)).select(
         "user_id", "article_id", "reading_minutes", "total_score", "base_score", "personalization_score",
         "freshness_score", "length_score", "selection_reason",
     )
@@ -343,12 +353,12 @@ _ITEM = "user_id, rank, article_id, total_score, base_score, personalization_sco
 
 @query("c8_budgeted_select", f"SELECT {_ITEM} FROM v_list")
 def c8(v):
-    return daily_list(v).select(*_ITEM.split(", "))
+    return explained(v, daily_list(v)).select(*_ITEM.split(", "))
 
 
 @query("c8_budgeted_select_direct", f"SELECT {_ITEM} FROM v_direct")
 def c8_direct(v):
-    return daily_list(v, "direct").select(*_ITEM.split(", "))
+    return explained(v, daily_list(v, "direct")).select(*_ITEM.split(", "))
 
 
 @query(

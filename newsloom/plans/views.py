@@ -119,7 +119,11 @@ class Views:
 
     @cached_property
     def eligible(self) -> DataFrame:
-        return features.eligible(self.articles, SETTINGS, self.as_of)
+        return cut_lineage(features.eligible(self.articles, SETTINGS, self.as_of))
+
+    @cached_property
+    def eligible_features(self) -> DataFrame:
+        return cut_lineage(features.article_features(self.eligible))
 
     @cached_property
     def features(self) -> DataFrame:
@@ -157,7 +161,8 @@ class Views:
     @cached_property
     def preferences(self) -> DataFrame:
         current = preferences.current_feedback(self.feedback)
-        return preferences.rebuild_preferences(preferences.feedback_attribution(current, self.features))
+        named = self.features.join(current.select("article_id").distinct(), "article_id", "left_semi")
+        return cut_lineage(preferences.rebuild_preferences(preferences.feedback_attribution(current, named)))
 
     @cached_property
     def usage(self) -> DataFrame:
