@@ -35,19 +35,13 @@ def shown_text(articles: DataFrame, retrieved: DataFrame) -> DataFrame:
 
 def ground_claims(claims: DataFrame, shown: DataFrame) -> DataFrame:
     """G1. Claims whose excerpt occurs in the text shown, with their claim hash.
-
-    The claims of an article (30 at most) travel to its text as one array, so
-    each text moves once.
-    """
-    packed = claims.groupBy("article_id").agg(F.collect_list(F.struct("*")).alias("claims"))
-    text = normalized(F.col("shown"))
-    found = F.filter(
-        F.col("claims"), lambda c: F.contains(F.col("_text"), normalized(c["supporting_excerpt"]))
-    )
+    Each text is normalised once, below the join."""
+    texts = shown.select("article_id", normalized(F.col("shown")).alias("_text"))
+    held = F.contains(F.col("_text"), normalized(F.col("supporting_excerpt")))
     return (
-        packed.join(shown.withColumn("_text", text), "article_id")
-        .select(F.inline(found))
-        .withColumn("claim_hash", fingerprint(fold(F.col("claim_text"))))
+        claims.join(texts, "article_id")
+        .filter(held)
+        .select(*claims.columns, fingerprint(fold(F.col("claim_text"))).alias("claim_hash"))
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import strip, word_count
@@ -26,13 +26,20 @@ def supplement_budget(items: DataFrame, classifications: DataFrame, settings: Se
     return items.join(news, "article_id", "left_semi").withColumn("word_budget", budget.cast("int"))
 
 
-def _valid_ids(evidence: DataFrame) -> DataFrame:
-    """Evidence ids of a run as one array: a run collects a handful per iteration."""
-    return evidence.groupBy("run_id").agg(F.collect_set("evidence_id").alias("valid_ids"))
-
-
-def _only(ids: Column, allowed: Column) -> Column:
-    return F.filter(ids, lambda x: F.array_contains(allowed, x))
+def _valid_citations(rows: DataFrame, keys: list[str], ids: str, evidence: DataFrame) -> DataFrame:
+    """``rows`` plus ``cited``: the ids of its own list that the run's evidence has,
+    in order, repeats included. Ids meet the evidence on (run, id), so a run with
+    much evidence spreads; only one row's own list is put together again."""
+    known = evidence.select("run_id", F.col("evidence_id").alias("_id")).distinct()
+    found = (
+        rows.select(*keys, F.posexplode(ids).alias("_at", "_id"))
+        .join(known, ["run_id", "_id"], "left_semi")
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(F.struct("_at", "_id"))).alias("_found"))
+        .select(*keys, F.transform("_found", lambda f: f["_id"]).alias("cited"))
+    )
+    empty = F.array().cast("array<bigint>")
+    return rows.join(found, keys, "left").withColumn("cited", F.coalesce("cited", empty))
 
 
 def coverage_ledger(decisions: DataFrame, evidence: DataFrame, settings: Settings) -> DataFrame:
@@ -45,10 +52,7 @@ def coverage_ledger(decisions: DataFrame, evidence: DataFrame, settings: Setting
     """
     limit = settings.max_evidence_per_area
     empty = F.array().cast("array<bigint>")
-    cited = decisions.join(_valid_ids(evidence), "run_id", "left").select(
-        "run_id", "area", "iteration", "needed",
-        _only(F.coalesce("evidence_ids", empty), F.coalesce("valid_ids", empty)).alias("cited"),
-    )
+    cited = _valid_citations(decisions, ["run_id", "area", "iteration"], "evidence_ids", evidence)
     start = F.struct(empty.alias("ids"), F.lit(False).alias("satisfied"))
 
     def step(acc: Column, d: Column) -> Column:
@@ -129,30 +133,33 @@ def supported_statements(
     they fit the word budget; one that does not fit is skipped.
 
     ``statements(run_id, card_index, statement_index, card_type, text,
-    evidence_ids)``. A draft has at most 48 statements, which bounds the fold.
+    evidence_ids)``. Before the fold each statement length keeps only as many rows
+    as could fit the budget together; a length that was refused once is refused
+    ever after, so nothing is lost and the budget bounds the fold.
     """
     at = ["run_id", "card_index", "statement_index"]
-    supported = verification.filter("supported").select(*at, F.col("evidence_ids").alias("ids"))
-    empty = F.array().cast("array<bigint>")
+    supported = _valid_citations(
+        verification.filter("supported").select(*at, F.col("evidence_ids").alias("ids")), at, "ids", evidence
+    ).select(*at, F.col("cited").alias("ids"))
+    in_draft = F.filter(F.col("ids"), lambda x: F.array_contains("evidence_ids", x))
+    same_length = Window.partitionBy("run_id", "n_words").orderBy("card_index", "statement_index")
     candidates = (
         statements.join(supported, at)
-        .join(_valid_ids(evidence), "run_id", "left")
-        .withColumn(
-            "cited",
-            F.array_distinct(_only(_only(F.col("ids"), F.coalesce("valid_ids", empty)), F.col("evidence_ids"))),
-        )
+        .withColumn("cited", F.array_distinct(in_draft))
         .filter(F.size("cited") > 0)
+        .withColumn("n_words", word_count(F.col("text")))
+        .join(budgets.select("run_id", "word_budget"), "run_id")
+        .withColumn("_n", F.row_number().over(same_length))
+        .filter(F.col("_n") * F.col("n_words") <= F.col("word_budget"))
         .select(
             "run_id",
+            "word_budget",
             F.struct(
-                "card_index", "statement_index", "card_type",
-                strip(F.col("text")).alias("text"), word_count(F.col("text")).alias("n_words"), "cited",
+                "card_index", "statement_index", "card_type", strip(F.col("text")).alias("text"), "n_words", "cited"
             ).alias("row"),
         )
     )
-    walks = candidates.groupBy("run_id").agg(F.sort_array(F.collect_list("row")).alias("rows")).join(
-        budgets.select("run_id", "word_budget"), "run_id"
-    )
+    walks = candidates.groupBy("run_id", "word_budget").agg(F.sort_array(F.collect_list("row")).alias("rows"))
     start = F.struct(F.lit(0).alias("used"), F.slice("rows", 1, 0).alias("kept"))
 
     def step(acc: Column, row: Column) -> Column:

@@ -177,22 +177,15 @@ def claim_recall(expected: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def grounding_rate(claims: DataFrame, shown: DataFrame) -> DataFrame:
-    """K7. Share of claims whose non-blank excerpt occurs in the text shown.
-
-    Claims travel to their text as one array per article, as in ``ground_claims``.
-    """
-    packed = claims.groupBy("article_id").agg(F.collect_list("supporting_excerpt").alias("excerpts"))
-    held = F.filter(
-        F.col("excerpts"),
-        lambda e: (strip(e) != "") & F.contains(F.col("_text"), normalized(e)),
-    )
-    counts = packed.join(
-        shown.select("article_id", normalized(F.col("shown")).alias("_text")), "article_id", "left"
-    ).select(F.size("excerpts").alias("n"), F.coalesce(F.size(held), F.lit(0)).alias("n_grounded"))
-    return counts.agg(
-        F.sum("n").alias("n_claims"),
-        F.sum(F.greatest("n_grounded", F.lit(0))).alias("n_grounded"),
-        ratio(F.sum(F.greatest("n_grounded", F.lit(0))), F.sum("n")).alias("grounding_rate"),
+    """K7. Share of claims whose non-blank excerpt occurs in the text shown."""
+    texts = shown.select("article_id", normalized(F.col("shown")).alias("_text"))
+    excerpt = F.col("supporting_excerpt")
+    held = (strip(excerpt) != "") & F.contains(F.col("_text"), normalized(excerpt))
+    checked = claims.select("article_id", excerpt).join(texts, "article_id", "left")
+    return checked.agg(
+        F.count("*").alias("n_claims"),
+        F.count_if(held).alias("n_grounded"),
+        ratio(F.count_if(held), F.count("*")).alias("grounding_rate"),
     )
 
 

@@ -33,29 +33,35 @@ def list_clusters(clusters: DataFrame, members: DataFrame, limit: int = 50) -> D
 def cluster_detail(
     clusters: DataFrame, members: DataFrame, claims: DataFrame, links: DataFrame, comparisons: DataFrame
 ) -> DataFrame:
-    """L3. One nested row per cluster for the cluster page.
+    """L3. What the page of each given cluster lists, as rows of four sections.
 
-    Pass one or a few clusters: every input is first cut to them, so the arrays
-    are those of a page, not of the table. Claims and links are bounded by
-    pruning and pair limits; all members are listed, as the page does.
+    Rows instead of nested arrays: a story may have any number of members, and a
+    page reads its sections in order of ``item_id``.
     """
     wanted = clusters.select("cluster_id")
 
-    def nested(df: DataFrame, name: str, *columns: str) -> DataFrame:
-        return (
-            df.join(wanted, "cluster_id", "left_semi")
-            .groupBy("cluster_id")
-            .agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+    def section(df: DataFrame, name: str, item: Column, other: Column, text: Column, confidence: Column) -> DataFrame:
+        return df.join(wanted, "cluster_id", "left_semi").select(
+            "cluster_id",
+            F.lit(name).alias("section"),
+            item.cast("bigint").alias("item_id"),
+            other.cast("bigint").alias("other_id"),
+            text.alias("text"),
+            confidence.cast("double").alias("confidence"),
         )
 
+    none = F.lit(None)
     return (
-        clusters.join(nested(members, "members", "article_id", "relationship"), "cluster_id", "left")
-        .join(nested(claims, "claims", "claim_id", "article_id", "claim_text", "confidence"), "cluster_id", "left")
-        .join(
-            nested(links, "links", "left_claim_id", "right_claim_id", "relationship", "confidence"),
-            "cluster_id", "left",
+        section(members, "member", F.col("article_id"), none, F.col("relationship"), none)
+        .unionByName(
+            section(claims, "claim", F.col("claim_id"), F.col("article_id"), F.col("claim_text"), F.col("confidence"))
+        )
+        .unionByName(
+            section(links, "link", F.col("left_claim_id"), F.col("right_claim_id"), F.col("relationship"), F.col("confidence"))
+        )
+        .unionByName(
+            section(comparisons, "comparison", F.col("representative_article_id"), none, F.col("selection_reason"), none)
         )
-        .join(comparisons.select("cluster_id", F.struct(*comparisons.columns).alias("comparison")), "cluster_id", "left")
     )
 
 

@@ -39,23 +39,17 @@ def l2(v):
 @query(
     "l3_cluster_detail",
     """
-SELECT cluster_id, (SELECT count(*) FROM v_members m WHERE m.cluster_id = c.cluster_id) AS n_members,
-  (SELECT count(*) FROM v_claims k WHERE k.cluster_id = c.cluster_id) AS n_claims, (SELECT count(*) FROM v_links l WHERE l.cluster_id = c.cluster_id) AS n_links,
-  (SELECT min(claim_text) FROM v_claims k WHERE k.cluster_id = c.cluster_id AND claim_id = (SELECT min(claim_id) FROM v_claims k WHERE k.cluster_id = c.cluster_id)) AS first_claim
-FROM v_clusters c""",
+SELECT cluster_id, 'member' AS section, article_id AS item_id, NULL::BIGINT AS other_id, relationship AS text, NULL::DOUBLE AS confidence FROM v_members
+UNION ALL SELECT cluster_id, 'claim', claim_id, article_id, claim_text, round(confidence, 6) FROM v_claims
+UNION ALL SELECT cluster_id, 'link', left_claim_id, right_claim_id, relationship, round(confidence, 6) FROM v_links
+UNION ALL SELECT cluster_id, 'comparison', representative_article_id, NULL,
+  'evidence_score=' || CAST(CAST(CAST(round(CAST(evidence_score AS DECIMAL(28,10)), 3) AS DOUBLE) AS DECIMAL(18,3)) AS VARCHAR) || ', extracted_claims=' || n_claims || ', word_count=' || word_count,
+  NULL FROM v_representatives""",
 )
 def l3(v):
-    from newsloom.operators import clustering
-
-    detail = reports.cluster_detail(
-        v.clusters, v.members, v.claims, v.links, clustering.cluster_status(v.members)
-    )
-    def size(name):
-        return F.coalesce(F.when(F.col(name).isNotNull(), F.size(name)), F.lit(0))
-    return detail.select(
-        "cluster_id", size("members").alias("n_members"), size("claims").alias("n_claims"),
-        size("links").alias("n_links"), F.get("claims", F.lit(0))["claim_text"].alias("first_claim"),
-    )
+    chosen = evidence.choose_representative(evidence.article_evidence(v.claims, v.pairs, v.links), v.articles)
+    out = reports.cluster_detail(v.clusters, v.members, v.claims, v.links, chosen)
+    return out.withColumn("confidence", F.round("confidence", 6))
 
 
 @query(
