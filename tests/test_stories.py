@@ -238,3 +238,29 @@ def test_small_clusters_are_kept_whole_with_larger_caps(spark):
     centre = spark.createDataFrame([(1, vectors(1, 1)[0])], "cluster_id bigint, centroid array<double>")
     out = clustering.prune_members(df, centre, replace(S, cluster_max_articles=4))
     assert {r["relationship"] for r in out.collect()} == {"coverage"}
+
+
+def test_statement_budget_equals_the_plain_walk(spark):
+    rng = random.Random(9)
+    rows, budgets, want = [], [], {}
+    for run in range(20):
+        budget, used, kept = rng.randint(0, 25), 0, []
+        for card in range(4):
+            for at in range(rng.randint(0, 6)):
+                n = rng.randint(1, 9)
+                rows.append((run, card, at, "context", " ".join(["w"] * n), [1]))
+                if used + n <= budget:
+                    used += n
+                    kept.append((card, at))
+        budgets.append((run, budget))
+        want[run] = kept
+    statements = spark.createDataFrame(
+        rows, "run_id bigint, card_index bigint, statement_index bigint, card_type string, text string, evidence_ids array<bigint>"
+    )
+    checks = statements.select("run_id", "card_index", "statement_index", F.lit(True).alias("supported"), "evidence_ids")
+    known = spark.createDataFrame([(r, 1) for r in range(20)], "run_id bigint, evidence_id bigint")
+    out = grounding.supported_statements(
+        statements, checks, known, spark.createDataFrame(budgets, "run_id bigint, word_budget int")
+    ).collect()
+    for run, kept in want.items():
+        assert sorted((r["card_index"], r["statement_index"]) for r in out if r["run_id"] == run) == kept
