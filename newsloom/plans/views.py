@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import clock
 from newsloom.functions.text import word_count
-from newsloom.functions.vectors import cosine
 from newsloom.operators import clustering, evidence, features, preferences, retrieval
 from newsloom.operators.analytics import NODE_COUNTERS, visitor_hash
 from newsloom.session import cut_lineage
