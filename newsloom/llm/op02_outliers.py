@@ -1,16 +1,16 @@
 """Quality rules by robust multivariate outliers, in DataFrame functions only.
 
 Base statistics of a text are counted in its row. Four transformed statistics of the texts
-that pass the base rules (word length, and log rates of symbols, repeated lines and repeated
-words) get a minimum-covariance-determinant estimate for each language and source: start
+that pass the base rules (word length, log rate of symbols, log count of repeated lines and
+share of repeated words) get a minimum-covariance-determinant estimate for each language and source: start
 from medians and absolute deviations, then ``STEPS`` concentration steps, each the mean and
 covariance of the ``KEEP`` share of rows nearest to the last estimate. A text is rejected if
 its squared Mahalanobis distance, scaled so that the group's median fits the chi-square law,
 is above ``CUTOFF``. A ridge of ``FLOOR`` squared keeps statistics that are constant in clean
 text from making every deviation infinite.
 
-Sources with fewer than ``LEAST`` such texts share one group per language; a group that is
-still smaller rejects nothing. Null lang and source are values of their own. Null and empty
+Sources with fewer than ``LEAST`` such texts are held against all texts of their language; a
+language that is still smaller rejects nothing. Null lang and source are values of their own. Null and empty
 texts have no words and fail the base rules. Repeated rows get equal results.
 """
 
@@ -24,7 +24,7 @@ from newsloom.llm.common import stored
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 KEEP, STEPS, LEAST, SALTS = 0.75, 3, 30, 16
-FLOOR = (0.15, 0.15, 0.1, 0.15)
+FLOOR = (0.15, 0.25, 0.5, 0.08)
 #: Chi-square quantiles of four degrees of freedom: the median, and 0.99999.
 MEDIAN, CUTOFF = 3.3567, 28.47
 X = ("x0", "x1", "x2", "x3")
@@ -74,7 +74,7 @@ def transformed(stats: DataFrame) -> DataFrame:
         "x0": F.col("word_chars") / n,
         "x1": F.log1p(100 * F.col("n_symbols") / n),
         "x2": F.log1p(F.col("n_dup_lines").cast("double")),
-        "x3": F.log1p(100 * F.col("n_repeat_words") / n),
+        "x3": F.col("n_repeat_words") / n,
     })
 
 
@@ -145,7 +145,8 @@ def judged(docs: DataFrame) -> DataFrame:
     same = x["lang"].eqNullSafe(named["l"]) & x["source"].eqNullSafe(named["s"]) & (x["salt"] == named["t"])
     own = F.to_json(F.struct("lang", F.when(F.col("t").isNotNull(), F.struct("source")).alias("own")))
     rows = stored(x.join(named, same, "left").withColumn("grp", own).drop("l", "s", "t"))
-    sound = rows.where("not base_failed").select("grp", "salt", *X)
+    language = F.to_json(F.struct("lang"))
+    sound = rows.where("not base_failed").select(F.explode(F.array_distinct(F.array("grp", language))).alias("grp"), "salt", *X)
     enough = stored(sound.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).select("grp"))
     found = estimates(_joined(sound, enough))
     spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
