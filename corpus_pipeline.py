@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import op04_bpe, op06_minhash, op07_substring, op08_decontaminate, op10_toxicity
-from newsloom.llm.common import read, shared_path
+from newsloom.llm.common import read, shared_path, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -27,12 +27,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each class of near duplicates."""
+    small_batches(spark)
     return op06_minhash.keep_one(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 words that a smaller doc_id holds; other texts as they were."""
     docs = docs.select(*COLUMNS)
+    small_batches(spark)
     rest = op07_substring.removal(docs, COLUMNS)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     size = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("bigint")).otherwise(F.col("n_chars"))
@@ -46,6 +48,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the token ids of each whole text."""
+    small_batches(spark)
     coded = op04_bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     ids = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", " ").cast("array<int>"))
     return coded.select("doc_id", "n_tokens", ids.alias("ids"))

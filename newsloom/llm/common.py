@@ -24,11 +24,19 @@ STEP = U(0x9E3779B97F4A7C15)
 BYTE_BASE = 0x2127599BF4325C37 * 8 + 3
 WORD_BASE = 0x880355F21E6D1965 * 8 + 5
 #: Text of one vectorised step; a single longer document is one step of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Arrow bytes that a Python worker is sent at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches of bounded bytes, so that long texts don't add up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def stored(df: DataFrame) -> DataFrame:

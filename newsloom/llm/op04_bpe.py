@@ -27,7 +27,7 @@ NONE = np.int64(2**62)
 #: Pieces above this many bytes are merged one by one; each round merges all copies of the pair.
 LONG = 512
 #: Pieces that a task remembers; the memory is emptied when it is full.
-REMEMBER = 600_000
+REMEMBER = 200_000
 #: White space of the pattern: the property of that name.
 WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 BLACK = "[^" + WHITE[1:]
@@ -202,7 +202,7 @@ def coder(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, step_chars: int = 1 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, step_chars: int = 1 << 19) -> DataFrame:
     """doc_id, ids (decimal, joined by one space), n_tokens and the decoded bytes of each text.
 
     ``step_chars`` bounds the text in work at once; a longer text is a step of its own.

@@ -31,7 +31,7 @@ from newsloom.llm.common import WORD_POWERS, Words, column_bytes, lists, signed,
 
 WINDOW = 50
 PHRASE = 16
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -23,14 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import WORD_POWERS, U, Words, column_bytes, lists, signed, span_hashes, stored
+from newsloom.llm.common import WORD_POWERS, U, Words, column_bytes, lists, signed, span_hashes, stored, text_steps
 
 GRAM = 4
 RARE = 16
 SCORE = 0.5
 FILTER_BITS = 1 << 22
 MATCH, MISMATCH, GAP = 2, -1, -1
-STEP_ROWS = 500
 
 LETTERS = np.arange(256, dtype=np.uint8)
 LETTERS[[c for c in range(33, 127) if not chr(c).isalnum()]] = 32
@@ -83,30 +82,28 @@ def passages(docs: DataFrame, bits: np.ndarray, margin: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(packed.value).astype(bool)
-        for whole in batches:
-            for k in range(0, whole.num_rows, STEP_ROWS):
-                batch = whole.slice(k, STEP_ROWS)
-                words = plain_words(batch.column("text"))
-                h = words.hashes()
-                begin, end, doc = words.windows(GRAM)
-                gram = span_hashes(h, begin, end, WORD_POWERS)
-                one, two = _slots(gram)
-                hit = np.flatnonzero(known[one] & known[two])
-                if not len(hit):
-                    continue
-                at, row = begin[hit], doc[hit]
-                new = np.ones(len(hit), bool)
-                new[1:] = (row[1:] != row[:-1]) | (at[1:] - at[:-1] > 2 * margin)
-                head = np.flatnonzero(new)
-                tail = np.append(head[1:], len(hit)) - 1
-                lo = np.maximum(at[head] - margin, words.first[row[head]])
-                hi = np.minimum(at[tail] + GRAM + margin, words.first[row[head] + 1])
-                size = hi - lo
-                index = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-                yield pa.record_batch([
-                    batch.column("doc_id").take(pa.array(row[head])), pa.array((lo - words.first[row[head]]).astype(np.int64)),
-                    lists(signed(h[index]), size, pa.int64()), lists(signed(gram[hit]), tail - head + 1, pa.int64()),
-                ], ["doc_id", "start", "passage", "grams"])
+        for batch, _, _ in text_steps(batches):
+            words = plain_words(batch.column("text"))
+            h = words.hashes()
+            begin, end, doc = words.windows(GRAM)
+            gram = span_hashes(h, begin, end, WORD_POWERS)
+            one, two = _slots(gram)
+            hit = np.flatnonzero(known[one] & known[two])
+            if not len(hit):
+                continue
+            at, row = begin[hit], doc[hit]
+            new = np.ones(len(hit), bool)
+            new[1:] = (row[1:] != row[:-1]) | (at[1:] - at[:-1] > 2 * margin)
+            head = np.flatnonzero(new)
+            tail = np.append(head[1:], len(hit)) - 1
+            lo = np.maximum(at[head] - margin, words.first[row[head]])
+            hi = np.minimum(at[tail] + GRAM + margin, words.first[row[head] + 1])
+            size = hi - lo
+            index = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+            yield pa.record_batch([
+                batch.column("doc_id").take(pa.array(row[head])), pa.array((lo - words.first[row[head]]).astype(np.int64)),
+                lists(signed(h[index]), size, pa.int64()), lists(signed(gram[hit]), tail - head + 1, pa.int64()),
+            ], ["doc_id", "start", "passage", "grams"])
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(
         run, "doc_id bigint, start bigint, passage array<bigint>, grams array<bigint>")
