@@ -5,9 +5,13 @@ where no shingle repeats, it is the Jaccard index of the shingle sets. Copies of
 same word sequence are folded first. Buckets of equal bands give candidates; each is
 verified on its whole shingle multiset. Classes are the connected components.
 
-No bucket is expanded into all pairs. Every member meets the bucket's smallest id;
-members that are still in another class after that meet the bucket's other classes.
-Both are exact within the buckets: pairs that are left out are in one class already.
+No bucket is expanded into all pairs. Every member meets the bucket's smallest id, its hub.
+Members that are in another class after that meet the members of other classes in their
+buckets, once each, unless one of two bounds rules the pair out: the distances of both to
+the hub (exact, as one minus the index is a metric), or a signature estimate below the
+similarity by more than ``ERRORS`` standard errors. Pairs in one class already add nothing
+to the classes. A link at exactly the similarity is lost with probability 5e-5 by the
+bands, and one between classes with 1e-3 by the estimate; both vanish quickly above it.
 
 Null texts and texts without a word are nobody's copies: each is a class of its own.
 Texts of fewer than ``size`` words are one shingle. Repeated rows with one id count once.
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import STEP, WORD_POWERS, U, Words, lists, mix, signed, span_hashes, stored, text_steps
@@ -27,6 +31,9 @@ from newsloom.llm.common import STEP, WORD_POWERS, U, Words, lists, mix, signed,
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
+ERRORS = 3.0
+#: Bits of each register that the estimate compares, packed into words of 64 bits.
+NIBBLE, WORDS = 4, 8
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,7 +76,8 @@ def prob_minhash(doc: np.ndarray, elem: np.ndarray, weight: np.ndarray, n_docs:
 
 
 def sketch(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, a 128-bit digest of the word sequence, and one key per band; no row without words."""
+    """doc_id, a 128-bit digest of the word sequence, one key per band and the packed low bits of
+    the registers (at most 128); no row without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, bounds in text_steps(batches):
@@ -79,14 +87,18 @@ def sketch(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int =
             key = np.zeros((len(sig), bands), np.uint64) + np.arange(bands, dtype=np.uint64) * STEP
             for r in range(rows):
                 key = mix(key ^ sig.reshape(-1, bands, rows)[:, :, r]) + STEP
+            low = np.zeros((len(sig), 16 * WORDS), np.uint64)
+            low[:, : sig.shape[1]] = mix(sig) & U(15)
+            packed = np.bitwise_or.reduce(low.reshape(-1, WORDS, 16) << (U(NIBBLE) * np.arange(16, dtype=np.uint64)), axis=2)
             whole = [span_hashes(words.hashes(s), words.first[:-1], words.first[1:], WORD_POWERS) for s in (0, 1)]
             some = np.flatnonzero(words.count)
             yield pa.record_batch([
                 batch.column("doc_id").take(pa.array(some)), pa.array(signed(whole[0][some])), pa.array(signed(whole[1][some])),
                 lists(signed(key[some]).ravel(), np.full(len(some), bands), pa.int64()),
-            ], ["doc_id", "d0", "d1", "keys"])
+                lists(signed(packed[some]).ravel(), np.full(len(some), WORDS), pa.int64()),
+            ], ["doc_id", "d0", "d1", "keys", "registers"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, d0 bigint, d1 bigint, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, d0 bigint, d1 bigint, keys array<bigint>, registers array<bigint>")
 
 
 def profiles(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -167,6 +179,17 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
+def _unequal(a: str, b: str) -> Column:
+    """Registers whose low bits differ, from the packed words."""
+    total = F.lit(0)
+    for i in range(WORDS):
+        d = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        total = total + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
 def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per doc_id: class_id (smallest id of the class), exact_of (smallest id with
     the same words) and n_links (verified links to other texts)."""
@@ -183,7 +206,8 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
     star = stored(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     named = buckets.select(F.col("id").alias("doc_id")).distinct()
     profile = stored(profiles(docs.select("doc_id", "text").join(named, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
-    links = stored(verified(star, profile, similarity))
+    tested = stored(verified(star, profile, 0.0))
+    links = tested.where(F.col("similarity") >= similarity - 1e-9)
     roots = components(links)
 
     # Members that the star left outside the hub's class meet the bucket's other classes.
@@ -192,15 +216,25 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
     placed = stored(
         buckets.join(root, "id")
         .join(root.select(F.col("id").alias("hub"), F.col("root").alias("hub_root")), "hub")
-        .select("key", "id", "root", "hub", "hub_root")
+        .join(tested.select(F.col("a").alias("hub"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("far")), ["hub", "id"])
+        .select("key", "id", "root", "hub_root", "far")
     )
-    outside = stored(placed.where("root <> hub_root").select("key", F.col("id").alias("x"), F.col("root").alias("x_root")))
-    busy = outside.select("key").distinct()
-    rest = placed.join(busy, "key", "left_semi").where("id <> hub").select("key", "id", "root")
-    second = (
-        outside.join(rest, "key").where("x_root <> root and x <> id")
-        .select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    outside = stored(placed.where("root <> hub_root").select("key", "id"))
+    busy = stored(outside.select("key").distinct())
+    traits = single.select(F.col("doc_id").alias("id"), "keys", "registers").dropDuplicates(["id"])
+    rest = stored(placed.join(busy, "key", "left_semi").select("key", "id", "root", "far").join(traits, "id"))
+    x, y = stored(rest.join(outside, ["key", "id"], "left_semi")).alias("x"), rest.alias("y")
+    m = bands * rows
+    expected = m * (similarity + (1 - similarity) / 2**NIBBLE)
+    least = expected - ERRORS * (expected * (1 - expected / m)) ** 0.5
+    meet = (
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
+        & (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - similarity + 1e-9)
+        & (m - _unequal("x.registers", "y.registers") >= least)
+        # Each pair once: in the first of its common buckets.
+        & (F.element_at(F.array_intersect("x.keys", "y.keys"), 1) == F.col("x.key"))
     )
+    second = x.join(y, meet).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     links = stored(links.unionAll(verified(stored(second), profile, similarity)).dropDuplicates(["a", "b"]))
     roots = components(links)
 
