@@ -32,8 +32,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 ERRORS = 3.0
+#: Registers of a signature: the first BANDS * ROWS make the bands, all of them the estimate.
+REGISTERS = 256
 #: Bits of each register that the estimate compares, packed into words of 64 bits.
-NIBBLE, WORDS = 4, 8
+NIBBLE, WORDS = 4, REGISTERS // 16
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,19 +79,17 @@ def prob_minhash(doc: np.ndarray, elem: np.ndarray, weight: np.ndarray, n_docs:
 
 def sketch(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, a 128-bit digest of the word sequence, one key per band and the packed low bits of
-    the registers (at most 128); no row without words."""
+    the registers; no row without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, bounds in text_steps(batches):
             words = Words(data, bounds)
             doc, h, count = shingles(words, size)
-            sig = prob_minhash(doc, h, 1 + np.log(count), len(bounds) - 1, bands * rows)
+            sig = prob_minhash(doc, h, 1 + np.log(count), len(bounds) - 1, REGISTERS)
             key = np.zeros((len(sig), bands), np.uint64) + np.arange(bands, dtype=np.uint64) * STEP
             for r in range(rows):
-                key = mix(key ^ sig.reshape(-1, bands, rows)[:, :, r]) + STEP
-            low = np.zeros((len(sig), 16 * WORDS), np.uint64)
-            low[:, : sig.shape[1]] = mix(sig) & U(15)
-            packed = np.bitwise_or.reduce(low.reshape(-1, WORDS, 16) << (U(NIBBLE) * np.arange(16, dtype=np.uint64)), axis=2)
+                key = mix(key ^ sig[:, : bands * rows].reshape(-1, bands, rows)[:, :, r]) + STEP
+            packed = np.bitwise_or.reduce((mix(sig) & U(15)).reshape(-1, WORDS, 16) << (U(NIBBLE) * np.arange(16, dtype=np.uint64)), axis=2)
             whole = [span_hashes(words.hashes(s), words.first[:-1], words.first[1:], WORD_POWERS) for s in (0, 1)]
             some = np.flatnonzero(words.count)
             yield pa.record_batch([
@@ -224,7 +224,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
     traits = single.select(F.col("doc_id").alias("id"), "keys", "registers").dropDuplicates(["id"])
     rest = stored(placed.join(busy, "key", "left_semi").select("key", "id", "root", "far").join(traits, "id"))
     x, y = stored(rest.join(outside, ["key", "id"], "left_semi")).alias("x"), rest.alias("y")
-    m = bands * rows
+    m = REGISTERS
     expected = m * (similarity + (1 - similarity) / 2**NIBBLE)
     least = expected - ERRORS * (expected * (1 - expected / m)) ** 0.5
     meet = (
