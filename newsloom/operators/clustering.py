@@ -22,12 +22,13 @@ def inference_worklist(
     inputs: DataFrame, cached: DataFrame, model: str, cap: int | None = None
 ) -> DataFrame:
     """E1. Inputs ``(run_id, article_id, input_hash)`` a model has not answered yet.
-    A run looks at its first ``cap`` articles only, cached or not."""
+    With ``cap``, a run gets its first ``cap`` unanswered articles; the next run gets the rest."""
+    done = cached.filter(F.col("model") == model).select("article_id", "input_hash")
+    todo = inputs.join(done, ["article_id", "input_hash"], "left_anti")
     if cap is not None:
         by_run = Window.partitionBy("run_id").orderBy("article_id")
-        inputs = inputs.withColumn("_n", F.row_number().over(by_run)).filter(F.col("_n") <= cap).drop("_n")
-    done = cached.filter(F.col("model") == model).select("article_id", "input_hash")
-    return inputs.join(done, ["article_id", "input_hash"], "left_anti")
+        todo = todo.withColumn("_n", F.row_number().over(by_run)).filter(F.col("_n") <= cap).drop("_n")
+    return todo
 
 
 def batch_model_map(

@@ -203,7 +203,7 @@ def merge_topics(features: DataFrame, model: DataFrame) -> DataFrame:
         .select(
             "article_id",
             F.lit("topic").alias("feature_type"),
-            F.substring(fold(strip(F.col("topic"))), 1, 200).alias("feature_value"),
+            fold(strip(F.col("topic"))).alias("feature_value"),
             "confidence",
         )
         .filter("feature_value <> ''")
@@ -267,10 +267,11 @@ def route_path_valid(path: Column) -> Column:
     return F.length(path).between(1, 120) & strip(path).rlike(r"^/[^?#]*$")
 
 
-def article_model_text() -> Column:
-    """B16. What an embedding model is shown; the article part ends at 24,000 characters."""
+def article_model_text(limit: int | None = None) -> Column:
+    """B16. What an embedding model is shown: the whole article, or its first ``limit`` characters."""
+    body = F.coalesce("content_text", F.lit(""))
     return F.concat(
         F.lit("Title: "), F.col("title"),
         F.lit("\nSummary: "), F.coalesce("rss_summary", F.lit("")),
-        F.lit("\nArticle: "), F.substring(F.coalesce("content_text", F.lit("")), 1, 24000),
+        F.lit("\nArticle: "), body if limit is None else F.left(body, F.lit(limit)),
     )

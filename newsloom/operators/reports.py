@@ -147,14 +147,21 @@ def links_per_run(links: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def run_chunks(claims: DataFrame, runs: DataFrame, chunks: DataFrame, articles: DataFrame) -> DataFrame:
-    """L10. Chunks of the articles whose claims were extracted in a run."""
+def shown(text: str, chars: int | None) -> Column:
+    """A text, or its first ``chars`` characters."""
+    return F.col(text) if chars is None else F.left(text, F.lit(chars))
+
+
+def run_chunks(
+    claims: DataFrame, runs: DataFrame, chunks: DataFrame, articles: DataFrame, preview_chars: int | None = None
+) -> DataFrame:
+    """L10. Chunks of the articles whose claims were extracted in a run, whole unless a preview is asked for."""
     touched = during_runs(claims.select("article_id", "cluster_id", "created_at").distinct(), runs).select(
         "run_id", "article_id", "cluster_id"
     ).distinct()
     preview = chunks.select(
         "article_id", "chunk_index", "word_count",
-        F.left("chunk_text", F.lit(500)).alias("chunk_preview"),
+        shown("chunk_text", preview_chars).alias("chunk_preview"),
         F.size("vector").alias("embedding_dimensions"),
     )
     return touched.join(preview, "article_id").join(articles.select("article_id", "title"), "article_id")
@@ -171,7 +178,8 @@ def claim_link_report(links: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def supplement_report(
-    items: DataFrame, runs: DataFrame, cards: DataFrame, citations: DataFrame, evidence: DataFrame
+    items: DataFrame, runs: DataFrame, cards: DataFrame, citations: DataFrame, evidence: DataFrame,
+    preview_chars: int | None = None,
 ) -> DataFrame:
     """L12. Items with their supplement, its cards and cited evidence; items without one stay."""
     return (
@@ -179,7 +187,7 @@ def supplement_report(
         .join(cards, "run_id", "left")
         .join(citations, ["run_id", "card_index"], "left")
         .join(
-            evidence.select("run_id", "evidence_id", F.left("text", F.lit(500)).alias("evidence_excerpt")),
+            evidence.select("run_id", "evidence_id", shown("text", preview_chars).alias("evidence_excerpt")),
             ["run_id", "evidence_id"], "left",
         )
     )

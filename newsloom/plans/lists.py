@@ -258,7 +258,7 @@ def b15(v):
     "b16_article_model_text",
     """
 SELECT article_id, sha256(t) AS text_hash, length(t) AS n_chars FROM (
-  SELECT article_id, 'Title: ' || title || chr(10) || 'Summary: ' || rss_summary || chr(10) || 'Article: ' || substr(content_text, 1, 24000) AS t FROM v_articles)""",
+  SELECT article_id, 'Title: ' || title || chr(10) || 'Summary: ' || rss_summary || chr(10) || 'Article: ' || content_text AS t FROM v_articles)""",
 )
 def b16(v):
     return v.articles.select("article_id", features.article_model_text().alias("t")).select(

@@ -139,7 +139,7 @@ def l9(v):
 @query(
     "l10_run_chunks",
     """
-SELECT t.run_id, t.cluster_id, k.article_id, a.title, k.chunk_index, k.word_count, substr(k.chunk_text, 1, 500) AS chunk_preview, len(k.vector) AS embedding_dimensions
+SELECT t.run_id, t.cluster_id, k.article_id, a.title, k.chunk_index, k.word_count, k.chunk_text AS chunk_preview, len(k.vector) AS embedding_dimensions
 FROM (SELECT DISTINCT r.run_id, c.article_id, c.cluster_id FROM v_claims c JOIN v_runs r ON c.created_at BETWEEN r.started_at AND r.completed_at) t
 JOIN v_chunks k USING (article_id) JOIN v_articles a USING (article_id)""",
 )
@@ -162,7 +162,7 @@ def l11(v):
 @query(
     "l12_supplement_report",
     """
-SELECT r.run_id AS item_id, c.display_order, c.heading, t.statement_index, t.citation_order, e.evidence_id, substr(e.text, 1, 500) AS evidence_excerpt
+SELECT r.run_id AS item_id, c.display_order, c.heading, t.statement_index, t.citation_order, e.evidence_id, e.text AS evidence_excerpt
 FROM v_budgets r LEFT JOIN v_cards c USING (run_id) LEFT JOIN v_citations t USING (run_id, card_index) LEFT JOIN v_research e USING (run_id, evidence_id)""",
 )
 def l12(v):

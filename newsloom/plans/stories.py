@@ -19,9 +19,7 @@ from newsloom.plans.views import AS_OF_SQL, MODEL, SETTINGS, VIEW_SQL, cosine_sq
 @query(
     "e1_inference_worklist",
     f"""
-WITH todo AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY article_id) AS n FROM (
-  SELECT article_id, article_id // 50 AS run_id, sha256(title || chr(10) || content_text || chr(10) || 'phase5-v2') AS input_hash, status FROM v_articles))
-SELECT run_id, article_id FROM todo WHERE n <= 30 AND status <> 'failed'""",
+SELECT article_id // 50 AS run_id, article_id FROM v_articles WHERE status <> 'failed'""",
 )
 def e1(v):
     """Cached: what failed before under the same model; another model's cache does not count."""
@@ -33,9 +31,7 @@ def e1(v):
     cached = inputs.select(
         "article_id", "input_hash", F.when(F.col("status") == "failed", MODEL).otherwise("older").alias("model")
     )
-    return clustering.inference_worklist(
-        inputs.drop("status"), cached, MODEL, SETTINGS.run_article_cap
-    ).select("run_id", "article_id")
+    return clustering.inference_worklist(inputs.drop("status"), cached, MODEL).select("run_id", "article_id")
 
 
 def hashing_embedder(batch: pd.DataFrame) -> pd.DataFrame:

@@ -1,12 +1,14 @@
 """The registered queries and their SQL twins fit together."""
 
 import __spark_entry__ as contract
+from newsloom.plans import load_registry
 
 ROWS_ONLY = {"a9_prune_html", "e2_batch_model_map", "k3_threshold_sweep", "k6_claim_recall"}
 
 
 def test_every_query_has_a_twin_or_is_known_without():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == ROWS_ONLY
+    without = set(contract.queries()) - set(contract.oracle_sql())
+    assert {n for n in without if n in load_registry()} == ROWS_ONLY
 
 
 def test_entry_gives_ranked_lists(spark):

@@ -207,3 +207,10 @@ def test_targets_are_clamped(spark):
     users = spark.createDataFrame([(1, 0, 1), (2, 99, 99), (3, 5, 6)], "user_id bigint, daily_list_length int, minutes_per_article int")
     got = [tuple(r) for r in features.clamp_user_targets(users).orderBy("user_id").collect()]
     assert got == [(1, 1, 2, 2), (2, 10, 25, 250), (3, 5, 6, 30)]
+
+
+def test_a_list_may_be_longer_than_ten(spark):
+    rows = [(1, i, 12, 100, 3, float(50 - i)) for i in range(12)]
+    pool = spark.createDataFrame(
+        rows, "user_id bigint, article_id bigint, target_count int, target_minutes int, reading_minutes int, total_score double")
+    assert [r["article_id"] for r in scoring.budgeted_select(pool).orderBy("rank").collect()] == list(range(12))

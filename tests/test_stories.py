@@ -264,3 +264,11 @@ def test_statement_budget_equals_the_plain_walk(spark):
     ).collect()
     for run, kept in want.items():
         assert sorted((r["card_index"], r["statement_index"]) for r in out if r["run_id"] == run) == kept
+
+
+def test_a_capped_worklist_goes_on_in_the_next_run(spark):
+    inputs = spark.createDataFrame([(1, i, f"h{i}") for i in range(50)], "run_id bigint, article_id bigint, input_hash string")
+    cached = spark.createDataFrame([("m", i, f"h{i}") for i in range(30)], "model string, article_id bigint, input_hash string")
+    assert clustering.inference_worklist(inputs, cached, "m").count() == 20
+    capped = clustering.inference_worklist(inputs, cached, "m", cap=5).orderBy("article_id").collect()
+    assert [r["article_id"] for r in capped] == [30, 31, 32, 33, 34]
