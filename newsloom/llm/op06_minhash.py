@@ -160,10 +160,9 @@ def verified(pairs: DataFrame, profile: DataFrame, similarity: float) -> DataFra
 def components(links: DataFrame) -> DataFrame:
     """(id, root): the smallest id that each linked id reaches, by alternating stars.
 
-    Each round halves the paths; the loop ends when a round changes nothing.
+    Each round halves the paths; the loop ends when every id has one edge, to an id without one.
     """
     edges = stored(links.select("a", "b").where("a <> b").distinct())
-    before = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: larger neighbours go to the smallest of the neighbourhood.
@@ -173,10 +172,10 @@ def components(links: DataFrame) -> DataFrame:
         small = stored(large.groupBy("a").agg(F.min("b").alias("root")))
         pulled = large.join(small, "a").where("b <> root").select(F.col("b").alias("a"), F.col("root").alias("b"))
         edges = stored(pulled.unionAll(small.select("a", F.col("root").alias("b"))).distinct())
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        spread = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        inner = edges.select(F.col("b").alias("a")).distinct().join(spread, "a", "left_semi").select("a")
+        if spread.where("n > 1").select("a").unionAll(inner).isEmpty():
             return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
-        before = state
 
 
 def _unequal(a: str, b: str) -> Column:
@@ -203,7 +202,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
     banded = single.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
     hubs = stored(banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last"))
     buckets = stored(banded.join(hubs.select("key", "hub"), "key").select("key", "id", "hub").distinct())
-    star = stored(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    star = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     named = buckets.select(F.col("id").alias("doc_id")).distinct()
     profile = stored(profiles(docs.select("doc_id", "text").join(named, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
     tested = stored(verified(star, profile, 0.0))
@@ -220,10 +219,10 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
         .select("key", "id", "root", "hub_root", "far")
     )
     outside = stored(placed.where("root <> hub_root").select("key", "id"))
-    busy = stored(outside.select("key").distinct())
+    busy = outside.select("key").distinct()
     traits = single.select(F.col("doc_id").alias("id"), "keys", "registers").dropDuplicates(["id"])
     rest = stored(placed.join(busy, "key", "left_semi").select("key", "id", "root", "far").join(traits, "id"))
-    x, y = stored(rest.join(outside, ["key", "id"], "left_semi")).alias("x"), rest.alias("y")
+    x, y = rest.join(outside, ["key", "id"], "left_semi").alias("x"), rest.alias("y")
     m = REGISTERS
     expected = m * (similarity + (1 - similarity) / 2**NIBBLE)
     least = expected - ERRORS * (expected * (1 - expected / m)) ** 0.5
@@ -235,7 +234,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
         & (F.element_at(F.array_intersect("x.keys", "y.keys"), 1) == F.col("x.key"))
     )
     second = x.join(y, meet).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    links = stored(links.unionAll(verified(stored(second), profile, similarity)).dropDuplicates(["a", "b"]))
+    links = stored(links.unionAll(verified(second, profile, similarity)).dropDuplicates(["a", "b"]))
     roots = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
