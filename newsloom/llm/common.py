@@ -6,6 +6,7 @@ byte in UTF-8, so words are found in the bytes of a whole Arrow column at once.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -39,8 +40,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return small_batches(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """A hint to drop shuffle files and checkpoints that no table in use refers to any more.
+
+    Spark removes them when the driver collects its garbage, which a small driver
+    heap may not do for a whole job. Results never depend on it.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Written once to the shared checkpoint folder, read by what follows."""
+    """Written once to the shared checkpoint folder, read by what follows; files of earlier steps go."""
+    release(df.sparkSession)
     return cut_lineage(df)
 
 
