@@ -48,6 +48,12 @@ def batch_model_map(
     return df.mapInPandas(run, schema)
 
 
+def clusterable(articles: DataFrame) -> Column:
+    """Only news with a vector is clustered; a table without ``is_news`` holds news alone."""
+    has_vector = F.col("vector").isNotNull()
+    return has_vector & F.coalesce("is_news", F.lit(False)) if "is_news" in articles.columns else has_vector
+
+
 def assign_to_centroids(
     articles: DataFrame,
     centroids: DataFrame,
@@ -59,7 +65,8 @@ def assign_to_centroids(
     """E5. Nearest recent centroid of the same model, if similar enough.
 
     Articles that already belong to a cluster keep it. ``cluster_id`` is null
-    for leftovers, which go to ``graph_cluster``.
+    for leftovers, which go to ``graph_cluster``, and for articles that are not
+    news (an ``is_news`` column that is not true) or have no vector.
     """
     kept = articles.join(members.select("article_id", "cluster_id"), "article_id").select(
         "article_id", "cluster_id", F.lit(None).cast("double").alias("similarity")
@@ -69,7 +76,7 @@ def assign_to_centroids(
         F.col("event_date") >= F.date_sub(F.to_date(as_of), settings.cluster_lookback_days)
     )
     best = nearest(
-        fresh.select(F.col("article_id").alias("query_id"), "model", "vector"),
+        fresh.filter(clusterable(fresh)).select(F.col("article_id").alias("query_id"), "model", "vector"),
         active.select(F.col("cluster_id").alias("target_id"), "model", F.col("centroid").alias("vector")),
         1,
         block_bytes,
@@ -180,9 +187,10 @@ def _forest(ids: np.ndarray, left: np.ndarray, right: np.ndarray, offset: int, c
 
 
 def similar_edges(vectors: DataFrame, threshold: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Edges ``(a, b)`` whose components are those of ``cosine >= threshold``.
+    """Edges ``(a, b)`` whose components are those of ``cosine >= threshold`` within a model.
 
-    Rows are hashed into blocks and each pair of blocks is one task. A task
+    Rows ``(id, model, vector)`` are hashed into blocks of their model and each
+    pair of blocks is one task. A task
     compares its rows with matrix products but returns only a spanning forest:
     fewer edges than rows, however many pairs are similar.
     """
@@ -190,14 +198,14 @@ def similar_edges(vectors: DataFrame, threshold: float, block_bytes: int = BLOCK
     blocks = max(1, math.ceil(size / block_bytes))
     home = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     spread = (
-        vectors.select("id", "vector", home.alias("home"))
+        vectors.select("id", "model", "vector", home.alias("home"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         .withColumn("i", F.least("home", "other"))
         .withColumn("j", F.greatest("home", "other"))
     )
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
+        _, i, j = key
         left, right = group[group["home"] == i], group[group["home"] == j]
         if i == j:
             ids, a = left["id"].to_numpy(), unit_rows(left["vector"])
@@ -211,21 +219,22 @@ def similar_edges(vectors: DataFrame, threshold: float, block_bytes: int = BLOCK
             )
         return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 
-    return spread.groupBy("i", "j").applyInPandas(run, "a bigint, b bigint")
+    return spread.groupBy("model", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, component)`` with the smallest id as the label.
 
     Each round takes the smallest label among neighbours, then the label's own
-    label (pointer jumping), and is written to the checkpoint folder.
+    label (pointer jumping), and is written to the checkpoint folder. A round
+    that lowers no label is the last, so the loop always ends.
     """
     edges = cut_lineage(edges)
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("near")).unionByName(
         edges.select(F.col("b").alias("id"), F.col("a").alias("near"))
     )
     labels = cut_lineage(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         offered = (
             both.join(labels.select(F.col("id").alias("near"), "component"), "near")
             .groupBy("id")
@@ -241,7 +250,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 4
         labels = step.select("id", "component")
         if step.filter("old <> component").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def graph_cluster(
@@ -249,17 +257,21 @@ def graph_cluster(
 ) -> DataFrame:
     """E7. Clusters of ``articles(article_id, vector)``: linked at ``threshold``.
 
-    Identical vectors are folded into one node first (a partial aggregate), so a
-    text copied a million times is compared once. With ``recheck`` members that
-    are too far from the mean of their cluster become clusters of their own,
-    which undoes chains.
+    With a ``model`` column, only vectors of one model meet. Articles that are not
+    ``clusterable`` come back with a null ``cluster_id``. Identical vectors are
+    folded into one node first (a partial aggregate), so a text copied a million
+    times is compared once. With ``recheck`` members that are too far from the
+    mean of their cluster become clusters of their own, which undoes chains.
     """
-    same = articles.groupBy("vector").agg(F.min("article_id").alias("id"))
-    nodes = same.select("id", "vector")
+    if "model" not in articles.columns:
+        articles = articles.withColumn("model", F.lit(""))
+    rest = articles.filter(~clusterable(articles)).select("article_id", F.lit(None).cast("bigint").alias("cluster_id"))
+    articles = articles.filter(clusterable(articles)).withColumn("model", F.coalesce("model", F.lit("")))
+    nodes = articles.groupBy("model", "vector").agg(F.min("article_id").alias("id"))
     components = connected_components(nodes.select("id"), similar_edges(nodes, threshold, block_bytes))
     nonzero = F.exists("vector", lambda x: x != 0)
     placed = (
-        articles.join(same, "vector")
+        articles.join(nodes, ["model", "vector"])
         .join(components, "id")
         .select(
             "article_id",
@@ -268,12 +280,12 @@ def graph_cluster(
         )
     )
     if not recheck:
-        return placed.select("article_id", "cluster_id")
+        return placed.select("article_id", "cluster_id").unionByName(rest)
     means = centroids_of(placed.select("cluster_id", "vector"))
     near = cosine(F.col("vector"), F.col("centroid")) >= threshold
     return placed.join(means, "cluster_id").select(
         "article_id", F.when(near, F.col("cluster_id")).otherwise(F.col("article_id")).alias("cluster_id")
-    )
+    ).unionByName(rest)
 
 
 def centroids_of(members: DataFrame) -> DataFrame:

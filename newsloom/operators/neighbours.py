@@ -70,10 +70,12 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, block_bytes: int = B
     Targets that fit ``block_bytes`` (measured, not assumed) are broadcast and
     queries never move. Beyond that both sides are cut into hashed blocks; each
     task multiplies one query block with one target block, keeps k rows per
-    query, and a per-query limit merges the blocks. Both ways are exact.
+    query, and a per-query limit merges the blocks. Both ways are exact. Rows
+    without a vector or a model have no neighbours.
     """
-    queries = queries.select("query_id", "model", "vector")
-    targets = targets.select("target_id", "model", "vector")
+    known = "vector IS NOT NULL AND model IS NOT NULL"
+    queries = queries.select("query_id", "model", "vector").filter(known)
+    targets = targets.select("target_id", "model", "vector").filter(known)
     size, _ = vector_bytes(targets)
     if size <= block_bytes:
         local = targets.orderBy("target_id").toPandas()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,18 +14,48 @@ from newsloom.operators.cleaning import (
 from newsloom.functions.urls import AUTHORITY, TRACKING_PARAMETERS, URI
 from newsloom.plans.registry import query
 from newsloom.plans.views import AS_OF_SQL, SETTINGS, Views, fold_sql
+from newsloom.session import shared_folder
 from newsloom.sources import sinks
 from newsloom.sources.tables import TABLES
 
+# Character references of the given tables, for the SQL twins; ``&amp;`` comes last.
+ENTITIES = {
+    "&lt;": "<",
+    "&gt;": ">",
+    "&quot;": '"',
+    "&#34;": '"',
+    "&apos;": "'",
+    "&#39;": "'",
+    "&#x27;": "'",
+    "&nbsp;": " ",
+    "&#160;": " ",
+    "&ndash;": "–",
+    "&#8211;": "–",
+    "&mdash;": "—",
+    "&#8212;": "—",
+    "&lsquo;": "‘",
+    "&#8216;": "‘",
+    "&rsquo;": "’",
+    "&#8217;": "’",
+    "&ldquo;": "“",
+    "&#8220;": "“",
+    "&rdquo;": "”",
+    "&#8221;": "”",
+    "&hellip;": "…",
+    "&#8230;": "…",
+    "&amp;": "&",
+    "&#38;": "&",
+}
+
 KEYS = {name: columns.split()[0] for name, columns in TABLES.items()}
 
 
 def scratch(views: Views, name: str) -> str:
-    """A folder for a written result: next to the cluster's checkpoints, if it names any."""
-    base = views.spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder for a written result: next to the cluster's checkpoints, if it names any."""
+    base = shared_folder(views.spark)
     if base is None:
         return tempfile.mkdtemp(prefix="spark-") + "/" + name
-    return f"{base.rstrip('/')}/{name}-{views.spark.sparkContext.applicationId}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query(
@@ -46,7 +77,7 @@ def a1(v):
 
 
 def _entities_sql(x: str) -> str:
-    for entity, char in ingest.ENTITIES.items():
+    for entity, char in ENTITIES.items():
         x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
     return x
 

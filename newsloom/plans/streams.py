@@ -6,7 +6,6 @@ table out as several files, so that state has to survive between micro-batches).
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +28,7 @@ class StreamViews(Views):
     def table(self, name: str) -> DataFrame:
         if name != self.streamed:
             return super().table(name)
-        folder = f"{scratch(self.base, 'stream')}-{uuid.uuid4().hex}/{name}"
+        folder = f"{scratch(self.base, 'stream')}/{name}"
         self.base.table(name).repartition(self.files).write.parquet(folder)
         return (
             self.spark.readStream.schema(TABLES[name]).option("maxFilesPerTrigger", 1).parquet(folder)
@@ -44,7 +43,7 @@ def run(stream: DataFrame, each, folder: str, mode: str = "append") -> int:
 
 
 def place(v: Views, name: str) -> str:
-    return f"{scratch(v, name)}-{uuid.uuid4().hex}"
+    return scratch(v, name)
 
 
 @query(

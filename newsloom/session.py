@@ -33,15 +33,23 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder of ``spark.checkpoint.dir``; None only where everything runs in one local process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on reliable storage and forget how it was computed.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    session without it (tests on one machine) gets a scratch folder.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. A local
+    session without it (tests on one machine) gets a scratch folder; a cluster
+    without it is an error, as executors could not see such a folder.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(spark) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)

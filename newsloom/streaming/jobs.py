@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from newsloom.functions.vectors import cosine
 from newsloom.operators import clustering, ingest, preferences
 from newsloom.operators.retention import drop_expired
 from newsloom.session import cut_lineage
@@ -130,7 +131,9 @@ def cluster_batches(
     centroids: VersionedTable, members: BatchLog, settings: Settings, as_of: Column
 ) -> Callable[[DataFrame, int], None]:
     """M4. Assign a micro-batch to the stored centroids, cluster what is left over,
-    and move the centroids. ``batch(article_id, model, vector, event_date)``."""
+    and move the centroids. ``batch(article_id, model, vector, event_date)``, with
+    ``is_news`` where not all is news. A member's similarity is to the centroid it
+    joined, for an opened cluster to the mean of its first members."""
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         known = centroids.read(spark, batch_id)
@@ -139,9 +142,11 @@ def cluster_batches(
         placed = cut_lineage(clustering.assign_to_centroids(fresh, known, before, settings, as_of))
         left = fresh.join(placed.filter("cluster_id IS NULL"), "article_id", "left_semi")
         opened = clustering.graph_cluster(left, settings.similarity_threshold)
-        joined = placed.filter("cluster_id IS NOT NULL").unionByName(
-            opened.withColumn("similarity", F.lit(1.0))
+        first = opened.filter("cluster_id IS NOT NULL").join(fresh.select("article_id", "vector"), "article_id")
+        first = first.join(clustering.centroids_of(first.select("cluster_id", "vector")), "cluster_id").select(
+            "article_id", "cluster_id", cosine(F.col("vector"), F.col("centroid")).alias("similarity")
         )
+        joined = placed.filter("cluster_id IS NOT NULL").unionByName(first)
         joined = cut_lineage(joined.select("article_id", "cluster_id", "similarity"))
         members.write(joined, batch_id)
         arrivals = joined.join(fresh, "article_id")

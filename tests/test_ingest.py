@@ -1,5 +1,6 @@
 """URLs, deduplication, cleaning and writers."""
 
+import html
 import random
 
 import pytest
@@ -112,3 +113,30 @@ def test_lists_are_stored_once_unless_regenerated(spark, tmp_path):
     assert stored() == [(1, "2024-01-01", 1), (1, "2024-01-02", 1), (2, "2024-01-01", 1)]
     sinks.persist_list(items((1, "2024-01-01", 7)), folder, regenerate=True)
     assert stored() == [(1, "2024-01-01", 7), (1, "2024-01-02", 1), (2, "2024-01-01", 1)]
+
+
+def test_all_character_references_in_one_pass(spark):
+    texts = [
+        "caf&eacute; &#8364;5 &copy; 2024", "&amp;lt; stays &lt;", "a&nbsp;&nbsp;b", "&notit; &not &AMP &ampx", "&#x1F600; &#128;",
+        "&Aring;&szlig;&ntilde;&uuml;&ouml;&auml;&euro;&pound;&yen;&sect;&deg;&frac12;&times;&divide;&laquo;&raquo;&bull;&trade;&rarr;&NotEqualTilde;",
+        "<b>bold</b>&middot;text", "no reference & a bare sign", "", None,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(ingest.plain_text(F.col("t"))).collect()]
+    want = [" ".join(html.unescape((t or "").replace("<b>", " ").replace("</b>", " ")).split()) or None for t in texts]
+    assert got == want
+
+
+def test_dedup_of_a_long_chain_settles(spark):
+    """Items linked by url and guid in turn are settled one per round, however many they are."""
+    n = 66
+    rows = [(i, f"u{(i + 1) // 2}", 1, f"g{i // 2}") for i in range(n)]
+    df = spark.createDataFrame(rows, "item_order bigint, url_hash string, source_id bigint, guid string")
+    kept = {r["item_order"]: r["kept"] for r in ingest.dedup_feed_items(df).collect()}
+    assert kept == {i: i % 2 == 0 for i in range(n)}
+
+
+def test_dedup_without_an_order_is_an_error(spark):
+    df = spark.createDataFrame([(None, "u", 1, "g")], "item_order bigint, url_hash string, source_id bigint, guid string")
+    with pytest.raises(ValueError, match="item_order"):
+        ingest.dedup_feed_items(df)

@@ -272,3 +272,36 @@ def test_a_capped_worklist_goes_on_in_the_next_run(spark):
     assert clustering.inference_worklist(inputs, cached, "m").count() == 20
     capped = clustering.inference_worklist(inputs, cached, "m", cap=5).orderBy("article_id").collect()
     assert [r["article_id"] for r in capped] == [30, 31, 32, 33, 34]
+
+
+def test_only_news_with_a_vector_is_clustered_and_models_do_not_meet(spark):
+    v, w = [1.0, 0.0], [0.99, 0.1]
+    rows = [(1, "m1", v, True), (2, "m1", w, True), (3, "m2", v, True), (4, "m1", None, True), (5, "m1", v, False), (6, "m1", v, None)]
+    df = spark.createDataFrame(rows, "article_id bigint, model string, vector array<double>, is_news boolean")
+    got = {r["article_id"]: r["cluster_id"] for r in clustering.graph_cluster(df, 0.9).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: None, 5: None, 6: None}
+    known = spark.createDataFrame([(9, "m1", v, 1)], "cluster_id bigint, model string, centroid array<double>, d int").withColumn(
+        "event_date", F.lit("2024-01-02").cast("date"))
+    members = spark.createDataFrame([], "article_id bigint, cluster_id bigint")
+    placed = clustering.assign_to_centroids(df, known, members, S, F.lit("2024-01-03").cast("timestamp_ntz"))
+    assert {r["article_id"]: r["cluster_id"] for r in placed.collect()} == {1: 9, 2: 9, 3: None, 4: None, 5: None, 6: None}
+
+
+def test_streamed_members_keep_their_similarity(spark, tmp_path):
+    from newsloom.streaming import jobs
+    from newsloom.streaming.store import BatchLog, VersionedTable
+
+    centroids = VersionedTable(f"{tmp_path}/centroids", jobs.CENTROIDS)
+    members = BatchLog(f"{tmp_path}/members", jobs.MEMBERS)
+    each = jobs.cluster_batches(centroids, members, S, F.lit("2024-01-03").cast("timestamp_ntz"))
+    schema = "article_id bigint, model string, vector array<double>, event_date date"
+    day = __import__("datetime").date(2024, 1, 2)
+    first = [(1, "m1", [1.0, 0.0], day), (2, "m1", [0.8, 0.6], day), (3, "m2", [1.0, 0.0], day), (4, "m1", None, day)]
+    each(spark.createDataFrame(first, schema), 0)
+    each(spark.createDataFrame(first, schema), 0)  # a replayed batch leaves the same state
+    each(spark.createDataFrame([(5, "m2", [0.9, 0.1], day)], schema), 1)
+    got = {r["article_id"]: (r["cluster_id"], round(r["similarity"], 6)) for r in members.read_before(spark, 9).collect()}
+    near = round(0.9 / math.hypot(0.9, 0.1), 6)
+    assert got == {1: (1, 1.0), 2: (2, 1.0), 3: (3, 1.0), 5: (3, near)}
+    models = {r["cluster_id"]: r["model"] for r in centroids.read(spark, 2).collect()}
+    assert models == {1: "m1", 2: "m1", 3: "m2"}
