@@ -43,10 +43,19 @@ ENTITIES = {
     "&#8221;": "”",
     "&hellip;": "…",
     "&#8230;": "…",
+    "&copy;": "©",
+    "&middot;": "·",
     "&amp;": "&",
     "&#38;": "&",
 }
 
+# More references, and what they stand for.
+MORE_REFERENCES = (
+    "caf&eacute; &#8364;5 &#x20AC;5 &Aring; &szlig; &ntilde; &uuml; &pound; &yen; &sect; &deg; &frac12; &times; &divide; "
+    "&laquo; &raquo; &bull; &trade; &rarr; &permil; &Sigma; &amp;eacute; &eacute"
+)
+MORE_TEXT = "café €5 €5 Å ß ñ ü £ ¥ § ° ½ × ÷ « » • ™ → ‰ Σ &eacute; é"
+
 KEYS = {name: columns.split()[0] for name, columns in TABLES.items()}
 
 
@@ -79,7 +88,7 @@ def a1(v):
 def _entities_sql(x: str) -> str:
     for entity, char in ENTITIES.items():
         x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
-    return x
+    return f"replace({x}, '&amp', '&')"  # the one form without a semicolon in the given tables
 
 
 def _plain_sql(x: str) -> str:
@@ -93,7 +102,7 @@ def _plain_sql(x: str) -> str:
 SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN 'g' || page_id END AS guid,
   CASE page_id % 4 WHEN 1 THEN 'https://feeds.example.com/en/story/' || page_id WHEN 2 THEN 'https://feeds.example.com/rss/' || page_id
     WHEN 3 THEN 'https://cdn.example.com/' || page_id ELSE url END AS url,
-  coalesce({_plain_sql("regexp_extract(html, '<title>(.*?)</title>', 1) || ' &amp; &lt;more&gt;&nbsp;'")}, 'Untitled') AS title,
+  coalesce({_plain_sql("regexp_extract(html, '<title>(.*?)</title>', 1) || ' &amp; &lt;more&gt;&nbsp;'")} || ' {MORE_TEXT}', 'Untitled') AS title,
   {_plain_sql('html')} AS summary, NULL::VARCHAR AS author,
   strftime(CASE WHEN page_id % 2 = 0 THEN {AS_OF_SQL} - INTERVAL 2 HOUR ELSE {AS_OF_SQL} - to_hours(page_id % 72) END, '%Y-%m-%d %H:%M:%S') AS published_at
 FROM pages WHERE page_id % 10 <> 9""",
@@ -108,7 +117,7 @@ def a2(v):
                .otherwise(F.col("url"))).alias("link"),
         F.lit("https://feeds.example.com/rss/all.xml").alias("base_url"),
         F.when(p % 3 != 0, F.concat(F.lit(" g"), p, F.lit(" "))).otherwise("  ").alias("guid"),
-        F.concat(F.regexp_extract("html", "<title>(.*?)</title>", 1), F.lit(" &amp; &lt;more&gt;&nbsp;")).alias("title"),
+        F.concat(F.regexp_extract("html", "<title>(.*?)</title>", 1), F.lit(f" &amp; &lt;more&gt;&nbsp; {MORE_REFERENCES}")).alias("title"),
         F.col("html").alias("summary"),
         F.lit("<i> </i>").alias("author"),
         F.when(p % 2 != 0, v.as_of - F.make_dt_interval(F.lit(0), (p % 72).cast("int"))).alias("published"),
