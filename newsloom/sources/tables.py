@@ -16,25 +16,9 @@ TABLES = {
 }
 
 
-# Tables whose rows are costly to work on, and the bytes per core below which a
-# file is too small to be split by the scan alone.
-TEXT_TABLES = ("documents", "pages")
-SMALL_PER_CORE = 32 << 20
-
-
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Read one declared table; filters and column choices reach the scan.
 
-    A small text file is often one row group, which leaves all text work to one
-    core; such a file is dealt out to all cores behind the pruned scan. Larger
-    inputs split by themselves and are left alone: no shuffle of text at scale.
+    The scan alone decides the splits (``spark.sql.files.maxPartitionBytes``), at every size.
     """
-    path = f"{folder}/{name}.parquet"
-    df = spark.read.schema(TABLES[name]).parquet(path)
-    if name in TEXT_TABLES:
-        cores = spark.sparkContext.defaultParallelism
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-        if files.getContentSummary(where).getLength() < cores * SMALL_PER_CORE:
-            df = df.repartition(cores)
-    return df
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
