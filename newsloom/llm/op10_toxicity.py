@@ -52,8 +52,12 @@ class Model:
 
 
 def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
-    """Runs of whole words of about ``size`` bytes; the last word of one begins the next."""
-    out, run, n = [], [], 0
+    """Runs of whole words of about ``size`` bytes; the last word of one begins the next.
+
+    Every word is in a window. A short last run starts earlier, with words of the window
+    before it, so that it has full size.
+    """
+    out, run, n, before = [], [], 0, []
     for word in (text or "").lower().encode().split():
         for at in range(0, len(word), 2 * size) if len(word) > 2 * size else (0,):
             part = word[at : at + 2 * size]
@@ -61,8 +65,12 @@ def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
             n += len(part) + 1
             if n >= size:
                 out.append(b" " + b" ".join(run) + b" ")
-                run, n = [part], len(part) + 1
-    if n > size // 3 and len(run) > 1 or not out:
+                run, n, before = [part], len(part) + 1, run[:-1]
+    if len(run) > 1 or not out:
+        full = size if n <= size // 3 else 0
+        while n < full and before:
+            run.insert(0, before.pop())
+            n += len(run[0]) + 1
         out.append(b" " + b" ".join(run) + b" ")
     return out
 

@@ -297,6 +297,20 @@ def test_toxic_texts_are_told_apart(spark):
     assert op10_toxicity.fit(docs, known.limit(0)) is None
 
 
+def test_every_word_is_in_a_window_and_a_toxic_last_word_counts():
+    for i in range(300):
+        rng = np.random.default_rng(i)
+        w = ["".join(rng.choice(list("abcdefgh"), rng.integers(1, 12))) + f"q{k}" for k in range(rng.integers(1, 40))]
+        found = op10_toxicity.windows(" ".join(w))
+        assert [x for x in w if not any(x.encode() in f.split() for f in found)] == []
+    base = " ".join(words(400, 7)).encode()
+    plain, marked = op10_toxicity.compressor(base), op10_toxicity.compressor(b" disgusting" + base)
+    for i in range(20):
+        # Ten words of five letters fill a window; the word behind them is a last run of 17 bytes.
+        text = " ".join(words(10, 900 + i))
+        assert op10_toxicity.gains(text + " disgusting", plain, marked)[0] > op10_toxicity.gains(text, plain, marked)[0] + 2
+
+
 def test_pipeline_stages_keep_their_contract(spark):
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "near_duplicates", "repeated_passages", "decontamination", "encoding"]
