@@ -1,21 +1,26 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
-
-Texts are compared as lower-case words without ASCII punctuation. A scan of all documents
-keeps the passages around n-grams of test items; a Bloom filter of fixed size (``FILTER_BITS``
-bits, whatever the number of items) makes that scan map-only. Seeds are an item's n-grams
-that are rare in the corpus: their document frequency is at most ``RARE``, or twice the median
-over the item's n-grams, so an item that leaked everywhere keeps its seeds. Passages and
-items that share a seed are aligned; the score is the local alignment's weight over the
-item's weight with itself, 0 to 1.
-
-Items of fewer than ``GRAM`` words have no seed and match nothing. Null texts and items are
-empty. Repeated rows with one doc_id count once, at their best score. Rows with a null
-doc_id or item_id are not compared.
+"""Benchmark decontamination by counted word pairs and Smith-Waterman alignment.
+
+Texts are compared as lower-case words without ASCII punctuation. The score is the best local
+alignment's weight over the item's weight with itself, 0 to 1. Items meet texts in a map-only
+scan, so no seed is a hot key and the corpus has no say in a verdict.
+
+The seeds of an item are its ordered pairs of words one or two places apart. An alignment of m
+matches and e edits weighs 2 m - e; at the score s it has 2 m - e >= 2 s L for an item of L
+words. Two matches that follow each other cost at least 2 edits unless they are at most two
+places apart in item and text, so at least s L - 1 of them are such pairs, and the text's part
+is at most m + e <= (3 - 2 s) L words long. Only texts with so many seeds in so short a part are
+aligned, and all of them are: the result is that of aligning every text with every item. Items
+of at most 1 / s words have their single words as seeds.
+
+Items reach the workers in parts of about ``ITEM_WORDS`` words, each a scan of its own. Null texts
+and items are empty; empty items match nothing. Repeated rows with one doc_id count once, at
+their best score. Rows with a null doc_id or item_id are not compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +28,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import WORD_POWERS, U, Words, column_bytes, lists, signed, span_hashes, stored, text_steps
+from newsloom.llm.common import STEP, U, Words, column_bytes, lists, mix, signed, stored, text_steps
 
-GRAM = 4
-RARE = 16
 SCORE = 0.5
 FILTER_BITS = 1 << 22
+ITEM_WORDS = 1 << 20
+#: (place, item) rows that a step holds at once; a single text may have more.
+MOST_HITS = 1 << 22
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 LETTERS = np.arange(256, dtype=np.uint8)
@@ -40,73 +46,108 @@ def plain_words(column: pa.Array) -> Words:
     return Words(LETTERS[data], bounds)
 
 
+@dataclass(frozen=True)
+class Index:
+    """Items with words, and the items of each seed."""
+
+    ids: np.ndarray
+    words: np.ndarray
+    first: np.ndarray
+    #: Seeds that an alignment at the score has at least, and the words of text that it spans at most.
+    need: np.ndarray
+    span: np.ndarray
+    #: Sorted seeds; those of ``seed[k]`` are ``owner[at[k]:at[k + 1]]``.
+    seed: np.ndarray
+    at: np.ndarray
+    owner: np.ndarray
+
+
 def item_words(bench: DataFrame) -> DataFrame:
-    """item_id, words (hashes) and grams of each item."""
+    """item_id and words (hashes) of each item that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             words = plain_words(batch.column("text"))
-            h = words.hashes()
-            begin, end, doc = words.windows(GRAM)
-            gram = span_hashes(h, begin, end, WORD_POWERS)
-            yield pa.record_batch([
-                batch.column("item_id"), lists(signed(h), words.count, pa.int64()),
-                lists(signed(gram), np.bincount(doc, minlength=batch.num_rows), pa.int64()),
-            ], ["item_id", "words", "grams"])
-
-    return bench.where("item_id is not null").select("item_id", "text").mapInArrow(run, "item_id bigint, words array<bigint>, grams array<bigint>")
-
-
-def _slots(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    g = gram.view(np.uint64)
-    return (g % U(FILTER_BITS)).astype(np.int64), ((g >> U(32)) % U(FILTER_BITS)).astype(np.int64)
-
-
-def gram_filter(items: DataFrame) -> np.ndarray:
-    """Bloom filter of the items' n-grams: at most FILTER_BITS / 32 words reach the driver."""
-    gram = items.select(F.explode("grams").alias("g")).distinct()
-    unsigned = lambda c: F.pmod(c, F.lit(FILTER_BITS))
-    bit = gram.select(F.explode(F.array(unsigned(F.col("g")), unsigned(F.shiftrightunsigned("g", 32)))).alias("bit"))
-    rows = bit.groupBy((F.col("bit") / 32).cast("int").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
-
-
-def passages(docs: DataFrame, bits: np.ndarray, margin: int) -> DataFrame:
-    """doc_id, first word, word hashes and the n-grams found, for each run of hits in a text."""
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(packed.value).astype(bool)
-        for batch, _, _ in text_steps(batches):
-            words = plain_words(batch.column("text"))
-            h = words.hashes()
-            begin, end, doc = words.windows(GRAM)
-            gram = span_hashes(h, begin, end, WORD_POWERS)
-            one, two = _slots(gram)
-            hit = np.flatnonzero(known[one] & known[two])
-            if not len(hit):
-                continue
-            at, row = begin[hit], doc[hit]
-            new = np.ones(len(hit), bool)
-            new[1:] = (row[1:] != row[:-1]) | (at[1:] - at[:-1] > 2 * margin)
-            head = np.flatnonzero(new)
-            tail = np.append(head[1:], len(hit)) - 1
-            lo = np.maximum(at[head] - margin, words.first[row[head]])
-            hi = np.minimum(at[tail] + GRAM + margin, words.first[row[head] + 1])
-            size = hi - lo
-            index = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-            yield pa.record_batch([
-                batch.column("doc_id").take(pa.array(row[head])), pa.array((lo - words.first[row[head]]).astype(np.int64)),
-                lists(signed(h[index]), size, pa.int64()), lists(signed(gram[hit]), tail - head + 1, pa.int64()),
-            ], ["doc_id", "start", "passage", "grams"])
-
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, start bigint, passage array<bigint>, grams array<bigint>")
+            yield pa.record_batch([batch.column("item_id"), lists(signed(words.hashes()), words.count, pa.int64())], ["item_id", "words"])
+
+    return bench.where("item_id is not null").select("item_id", "text").mapInArrow(
+        run, "item_id bigint, words array<bigint>").where(F.size("words") > 0)
+
+
+def seeds(h: np.ndarray, row: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words that begin a seed, and the seeds; rows are never crossed."""
+    if not apart:
+        return np.arange(len(h)), mix(h + STEP)
+    at = np.flatnonzero(row[:-apart] == row[apart:])
+    return at, mix(mix(h[at]) + h[at + apart])
+
+
+def index_items(items: DataFrame, score: float) -> Index:
+    rows = items.select("item_id", "words").toArrow()
+    words = rows.column("words").combine_chunks()
+    size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    h = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    row = np.repeat(np.arange(len(size)), size)
+    short = score * size <= 1
+    need = np.where(short, 1, np.maximum(np.ceil(score * size - 1 - 1e-9), 1)).astype(np.int64)
+    found, owner = [], []
+    for apart in (0, 1, 2):
+        at, seed = seeds(h, row, apart)
+        own = short[row[at]] == (apart == 0)
+        found.append(seed[own])
+        owner.append(row[at[own]])
+    both = np.unique(np.rec.fromarrays([np.concatenate(found), np.concatenate(owner)], names="seed,owner"))
+    seed, at = np.unique(both["seed"], return_index=True)
+    span = np.ceil((3 - 2 * score) * size).astype(np.int64)
+    return Index(rows.column("item_id").to_numpy(), h, np.concatenate([[0], np.cumsum(size)]), need, span,
+                 seed, np.append(at, len(both)), np.ascontiguousarray(both["owner"]))
+
+
+def passages(words: Words, h: np.ndarray, index: Index, known: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Item, text, first and end word and number of seeds of each passage that can hold an item."""
+    row = words.doc()
+    place, which = [], []
+    for apart in (0, 1, 2) if (index.need == 1).any() else (1, 2):
+        at, seed = seeds(h, row, apart)
+        hit = np.flatnonzero(known[(seed % U(FILTER_BITS)).astype(np.int64)])
+        k = np.minimum(np.searchsorted(index.seed, seed[hit]), len(index.seed) - 1)
+        same = index.seed[k] == seed[hit]
+        place.append(at[hit[same]])
+        which.append(k[same])
+    place, which = np.concatenate(place), np.concatenate(which)
+    order = np.argsort(place, kind="stable")
+    place, which = place[order], which[order]
+    count = index.at[which + 1] - index.at[which]
+    total = np.concatenate([[0], np.cumsum(count)])
+    # Whole texts at a time.
+    ends = np.searchsorted(place, words.first)
+    done, n = 0, len(h)
+    while done < len(words.count):
+        to = int(np.searchsorted(total[ends], total[ends[done]] + MOST_HITS, "right")) - 1
+        to = min(max(to, done + 1), len(words.count))
+        a, b = ends[done], ends[to]
+        done = to
+        c = count[a:b]
+        post = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(index.at[which[a:b]], c)
+        code = np.unique(index.owner[post] * n + np.repeat(place[a:b], c))
+        item, at = np.divmod(code, n)
+        last = np.arange(len(code)) + index.need[item] - 1
+        k = np.flatnonzero(last < len(code))
+        last = last[k]
+        k_ok = (item[last] == item[k]) & (row[at[last]] == row[at[k]]) & (at[last] - at[k] < index.span[item[k]])
+        k, last = k[k_ok], last[k_ok]
+        if not len(k):
+            continue
+        who, text = item[k], row[at[k]]
+        lo = np.maximum(at[k] - index.span[who], words.first[text])
+        hi = np.minimum(at[last] + index.span[who] + 1, words.first[text + 1])
+        new = np.ones(len(k), bool)
+        new[1:] = (who[1:] != who[:-1]) | (text[1:] != text[:-1]) | (lo[1:] > hi[:-1])
+        begin = np.flatnonzero(new)
+        who, text, lo, hi = who[begin], text[begin], lo[begin], hi[np.append(begin[1:], len(k)) - 1]
+        yield who, text, lo, hi, np.searchsorted(code, who * n + hi) - np.searchsorted(code, who * n + lo)
 
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
@@ -126,40 +167,45 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, i
     return best / (MATCH * len(item)), *where
 
 
-def matches(docs: DataFrame, bench: DataFrame, score: float = SCORE) -> DataFrame:
-    """(doc_id, item_id, score, n_seeds) of the documents that hold a copy of an item at or above the score."""
-    items = stored(item_words(bench))
-    margin = items.agg(F.max(F.size("words"))).first()[0] or 0
-    found = stored(passages(docs, gram_filter(items), margin))
-    hits = found.select("doc_id", "start", F.explode(F.array_distinct("grams")).alias("gram"))
-    frequency = stored(hits.groupBy("gram").agg(F.count_distinct("doc_id").alias("df")))
-    item_gram = items.select("item_id", F.explode(F.array_distinct("grams")).alias("gram"))
-    counted = stored(item_gram.join(frequency, "gram"))
-    usual = counted.groupBy("item_id").agg(F.percentile("df", F.lit(0.5)).alias("median"))
-    seeds = stored(counted.join(usual, "item_id").where(F.col("df") <= F.greatest(F.lit(RARE), 2 * F.col("median"))).select("item_id", "gram"))
-    pairs = stored(
-        hits.join(seeds, "gram").groupBy("doc_id", "start", "item_id").agg(F.count(F.lit(1)).alias("n_seeds"))
-    )
+def aligned(docs: DataFrame, index: Index, score: float) -> DataFrame:
+    """doc_id, item_id, score and n_seeds of each passage at or above the score."""
+    sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [
-                smith_waterman(np.array(a.as_py(), np.int64), np.array(b.as_py(), np.int64))[0]
-                for a, b in zip(batch.column("words"), batch.column("passage"), strict=True)
-            ]
-            yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("item_id"), pa.array(got, pa.float64()), batch.column("n_seeds")],
-                ["doc_id", "item_id", "score", "n_seeds"],
-            )
-
-    aligned = (
-        pairs.join(found.select("doc_id", "start", "passage"), ["doc_id", "start"])
-        .join(items.select("item_id", "words"), "item_id")
-        .select("doc_id", "item_id", "n_seeds", "passage", "words")
-        .mapInArrow(run, "doc_id bigint, item_id bigint, score double, n_seeds bigint")
-    )
-    return aligned.where(F.col("score") >= score).groupBy("doc_id", "item_id").agg(
-        F.max("score").alias("score"), F.max("n_seeds").alias("n_seeds"))
+        own = sent.value
+        known = np.zeros(FILTER_BITS, bool)
+        known[(own.seed % U(FILTER_BITS)).astype(np.int64)] = True
+        for batch, _, _ in text_steps(batches):
+            words = plain_words(batch.column("text"))
+            h = words.hashes()
+            if not len(h):
+                continue
+            for who, text, lo, hi, n in passages(words, h, own, known):
+                got = np.array([
+                    smith_waterman(own.words[own.first[i] : own.first[i + 1]], h[a:b])[0] for i, a, b in zip(who, lo, hi, strict=True)
+                ])
+                keep = np.flatnonzero(got >= score)
+                yield pa.record_batch([
+                    batch.column("doc_id").take(pa.array(text[keep])), pa.array(own.ids[who[keep]], pa.int64()),
+                    pa.array(got[keep]), pa.array(n[keep].astype(np.int64)),
+                ], ["doc_id", "item_id", "score", "n_seeds"])
+
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(
+        run, "doc_id bigint, item_id bigint, score double, n_seeds bigint")
+
+
+def matches(docs: DataFrame, bench: DataFrame, score: float = SCORE) -> DataFrame:
+    """(doc_id, item_id, score, n_seeds) of the documents that hold a copy of an item at or above the
+    score; n_seeds counts the words of the passage that begin a seed of the item."""
+    items = stored(item_words(bench))
+    parts = -(-(items.agg(F.sum(F.size("words"))).first()[0] or 0) // ITEM_WORDS)
+    part = F.pmod(F.xxhash64("item_id", "words"), F.lit(max(parts, 1)))
+    found = docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, score double, n_seeds bigint")
+    for i in range(parts):
+        index = index_items(items.where(part == i), score)
+        if len(index.ids):
+            found = found.unionAll(aligned(docs, index, score))
+    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("n_seeds").alias("n_seeds"))
 
 
 def clean(docs: DataFrame, bench: DataFrame, score: float = SCORE) -> DataFrame:

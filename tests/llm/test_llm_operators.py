@@ -241,6 +241,41 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert op08_decontaminate.clean(docs, bench).count() == docs.count() - 17
 
 
+def test_leaks_equal_alignment_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    vocabulary = words(30, 70)  # so few that every pair of words is common
+    items = {i: [vocabulary[k] for k in rng.integers(0, 30, n)] for i, n in enumerate([1, 2, 3, 4, 15, 15, 16, 24, 40])}
+    texts = []
+    for w in items.values():
+        fourth = ["changed" if k % 4 == 3 else x for k, x in enumerate(w)]
+        apart = [y for x in w for y in (x, "between")]
+        texts += [fourth, apart, apart[: len(w)]]
+        for rate in (0.15, 0.25, 0.3, 0.4):
+            for _ in range(4):
+                copy = []
+                for x in w:
+                    kind = rng.random() / rate
+                    copy += [x] if kind > 1 else [] if kind < 0.3 else ["new", x] if kind < 0.6 else ["changed"]
+                texts.append(copy)
+    around = [f"w{k}" for k in range(20)]
+    rows = [(i, " ".join([*rng.choice(around, 30), *t, *rng.choice(around, 30)]), "en", "s", 1) for i, t in enumerate(texts)]
+    rows += [(1000 + i, " ".join(rng.choice(vocabulary, 80)), "en", "s", 1) for i in range(40)]
+    want, code = {}, {}
+    as_numbers = lambda w: np.array([code.setdefault(x, len(code)) for x in w])
+    for doc, text, *_ in rows:
+        for i, w in items.items():
+            got = op08_decontaminate.smith_waterman(as_numbers(w), as_numbers(text.split()))[0]
+            if got >= 0.5:
+                want[doc, i] = got
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
+    monkeypatch.setattr(op08_decontaminate, "ITEM_WORDS", 50, raising=False)
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in op08_decontaminate.matches(docs, bench).collect()} == want
+    one = docs.where("doc_id = 1000 or doc_id % 7 = 0")
+    assert {(r["doc_id"], r["item_id"]) for r in op08_decontaminate.matches(one, bench).collect()} == {
+        k for k in want if k[0] == 1000 or k[0] % 7 == 0}
+
+
 def test_smith_waterman_counts_gaps_and_edits():
     a = np.arange(10)
     assert op08_decontaminate.smith_waterman(a, a)[0] == 1
