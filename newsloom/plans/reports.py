@@ -32,7 +32,7 @@ SELECT cluster_id, CAST(event_date AS VARCHAR) AS event_date, representative_tit
 FROM v_clusters c ORDER BY c.event_date DESC, cluster_id DESC LIMIT 50""",
 )
 def l2(v):
-    out = reports.list_clusters(v.clusters, v.members.filter("relationship = 'redundant'"))
+    out = reports.list_clusters(v.clusters, v.members)
     return out.select("cluster_id", "event_date", "representative_title", "comparison_status", "member_count")
 
 

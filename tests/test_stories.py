@@ -305,3 +305,18 @@ def test_streamed_members_keep_their_similarity(spark, tmp_path):
     assert got == {1: (1, 1.0), 2: (2, 1.0), 3: (3, 1.0), 5: (3, near)}
     models = {r["cluster_id"]: r["model"] for r in centroids.read(spark, 2).collect()}
     assert models == {1: "m1", 2: "m1", 3: "m2"}
+
+
+def test_the_cluster_list_counts_all_members(spark):
+    from types import SimpleNamespace
+
+    from newsloom.plans.reports import l2
+
+    clusters = spark.createDataFrame(
+        [(1, "2024-01-02", "a", "complete"), (2, "2024-01-01", "b", "pending"), (3, "2024-01-01", "c", "pending")],
+        "cluster_id bigint, event_date string, representative_title string, comparison_status string")
+    members = spark.createDataFrame(
+        [(1, 10, "coverage"), (1, 11, "redundant"), (1, 12, "coverage"), (2, 13, "coverage")],
+        "cluster_id bigint, article_id bigint, relationship string")
+    got = {r["cluster_id"]: r["member_count"] for r in l2(SimpleNamespace(clusters=clusters, members=members)).collect()}
+    assert got == {1: 3, 2: 1, 3: 0}
