@@ -190,8 +190,8 @@ def _unequal(a: str, b: str) -> Column:
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per doc_id: class_id (smallest id of the class), exact_of (smallest id with
-    the same words) and n_links (verified links to other texts)."""
+    """One row per doc_id: class_id (smallest id of the class) and exact_of (smallest id with
+    the same words). Links are found only as far as the classes need them, so none are counted."""
     found = stored(sketch(docs, size, bands, rows))
     copies = stored(found.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     member = stored(
@@ -237,13 +237,11 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
     links = stored(links.unionAll(verified(second, profile, similarity)).dropDuplicates(["a", "b"]))
     roots = components(links)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     ids = docs.select("doc_id").distinct().join(member, F.col("doc_id") == F.col("id"), "left").select(
         "doc_id", F.coalesce("rep", "doc_id").alias("exact_of"))
     return (
         ids.join(roots.withColumnRenamed("id", "exact_of"), "exact_of", "left")
-        .join(degree.withColumnRenamed("id", "exact_of"), "exact_of", "left")
-        .select("doc_id", F.coalesce("root", "exact_of").alias("class_id"), "exact_of", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("doc_id", F.coalesce("root", "exact_of").alias("class_id"), "exact_of")
     )
 
 

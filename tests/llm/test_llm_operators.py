@@ -189,6 +189,18 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(r["doc_id"] is None for r in op06_minhash.keep_one(documents(spark)).select("doc_id").collect())[-1]
 
 
+def test_near_duplicates_report_nothing_that_hangs_on_the_hub(spark):
+    a = words(120, 31)
+    texts = [a, [*a[:60], "x", *a[61:]], [*a[:30], "y", *a[31:]]]
+    seen = []
+    for ids in ((0, 1, 2), (2, 0, 1), (1, 2, 0)):
+        docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in zip(ids, texts, strict=True)], DOCS)
+        rows = {r["doc_id"]: r.asDict() for r in op06_minhash.classes(docs).collect()}
+        # By text: all but the ids themselves.
+        seen.append([{k: v for k, v in rows[i].items() if k not in ("doc_id", "exact_of")} for i in ids])
+    assert seen[0] == seen[1] == seen[2] == [{"class_id": 0}] * 3
+
+
 def test_hot_near_group_keeps_its_links(spark):
     base = words(150, 11)
     rows = []
