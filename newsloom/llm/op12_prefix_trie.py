@@ -32,6 +32,8 @@ from newsloom.llm.common import STEP, U, lists, mix, signed, stored
 #: Turns of a shard, and first turns that conversations may have from another.
 SHARD_TURNS = 1 << 15
 SHARED, FAMILY, HEADS = 3, 20, 4
+#: Slots tried at once for a node's children; more children than ``MANY`` are not fitted into gaps.
+LOOK, MANY = 1 << 10, 64
 WORD = r"[^\x20\x09-\x0D]+"
 NODE = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 EMPTY = hashlib.sha256().hexdigest()
@@ -97,7 +99,8 @@ class DoubleArray:
     def __init__(self, size: int):
         self.base, self.check = np.zeros(size, np.int64), np.full(size, -1, np.int64)
         self.check[0] = 0
-        self.free = 1
+        #: The first slot that may be free, and the slot behind all that are taken.
+        self.free = self.end = 1
 
     def _grow(self, size: int) -> None:
         if size > len(self.check):
@@ -105,6 +108,23 @@ class DoubleArray:
             self.base = np.append(self.base, np.zeros(more, np.int64))
             self.check = np.append(self.check, np.full(more, -1, np.int64))
 
+    def _place(self, codes: np.ndarray) -> int:
+        """The first slot from which on all codes fall on free slots, looked for ``LOOK`` slots at a time.
+
+        A node of more than ``MANY`` children goes behind all others at once.
+        """
+        at = self.free if len(codes) <= MANY else self.end
+        while True:
+            self._grow(at + LOOK + int(codes[-1]) + 1)
+            fit = at + np.arange(LOOK)
+            for code in codes.tolist() if at < self.end else ():
+                fit = fit[self.check[fit + code] < 0]
+                if not len(fit):
+                    break
+            if len(fit):
+                return int(fit[0])
+            at += LOOK
+
     def add(self, node: np.ndarray, turn: np.ndarray) -> None:
         """Children of one level: (node, turn) pairs in order, each once."""
         at = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
@@ -116,18 +136,13 @@ class DoubleArray:
             self._grow(len(self.check) + len(single))
         self.base[node[single]] = slots - turn[single]
         self.check[slots] = node[single]
+        self.end = max(self.end, int(slots.max(initial=0)) + 1)
         for a, n in zip(at[count > 1].tolist(), count[count > 1].tolist(), strict=True):
             codes = turn[a : a + n] - turn[a]
-            begin, span = self.free, int(codes[-1]) + 1
-            while True:
-                self._grow(begin + span + 1)
-                if (self.check[begin + codes] < 0).all():
-                    break
-                taken = begin + np.flatnonzero(self.check[begin : begin + span] >= 0)
-                # Past the first taken slot; past all of them if a node has many children.
-                begin = int(taken[0 if n < 32 else -1]) + 1
+            begin = self._place(codes)
             self.base[node[a]] = begin - turn[a]
             self.check[begin + codes] = node[a]
+            self.end = max(self.end, begin + int(codes[-1]) + 1)
         taken = self.check[self.free :] >= 0
         self.free += int(np.argmin(taken)) if not taken.all() else len(taken)
 
