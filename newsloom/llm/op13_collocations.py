@@ -108,22 +108,22 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Pieces]:
         yield Pieces(data, bounds, batch.column("lang"))
 
 
-def _counted(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(hashes), return_counts=True)
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """The hash partition of signed hashes."""
+    return h % parts
 
 
 def dealt(docs: DataFrame, parts: int, longest: int) -> DataFrame:
-    """(slot, h, n): counted phrases of partition ``slot div 2`` in odd slots, their mass in even ones."""
+    """(h, n): counted phrases, dealt to their hash partitions; a row of n below zero is a mass of partition h."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         mass = np.zeros(parts, np.int64)
 
         def flush() -> pa.RecordBatch:
-            h, n = _counted(held)
-            part = (h % U(parts)).astype(np.int64)
-            np.add.at(mass, part, n)
-            return pa.record_batch([pa.array(2 * part + 1), pa.array(signed(h)), pa.array(n.astype(np.int64))], ["slot", "h", "n"])
+            h, n = np.unique(signed(np.concatenate(held)), return_counts=True)
+            np.add.at(mass, part_of(h, parts), n)
+            return pa.record_batch([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
 
         for text in pieces(batches):
             held += text.hashes(longest)
@@ -134,9 +134,10 @@ def dealt(docs: DataFrame, parts: int, longest: int) -> DataFrame:
         if held:
             yield flush()
         own = np.flatnonzero(mass)
-        yield pa.record_batch([pa.array(2 * own), pa.array(np.zeros(len(own), np.int64)), pa.array(mass[own])], ["slot", "h", "n"])
+        yield pa.record_batch([pa.array(own.astype(np.int64)), pa.array(-mass[own])], ["h", "n"])
 
-    return docs.mapInArrow(run, "slot bigint, h bigint, n bigint")
+    part = F.when(F.col("n") < 0, F.col("h")).otherwise(F.pmod("h", F.lit(parts))).cast("int")
+    return docs.mapInArrow(run, "h bigint, n bigint").repartitionById(parts, part)
 
 
 class Summary:
@@ -171,56 +172,43 @@ def field_size(parts: int, bits: int = FIELD) -> int:
 
 
 def field_bits(h: np.ndarray, parts: int, size: int) -> np.ndarray:
-    """Places of unsigned hashes in the field."""
-    return ((h % U(parts)) * U(size) + mix(h) % U(size)).astype(np.int64)
+    """Places of signed hashes in the field."""
+    return part_of(h, parts) * size + (mix(h.view(np.uint64)) % U(size)).astype(np.int64)
 
 
 def summaries(rows: DataFrame, parts: int, least: int, size: int) -> DataFrame:
-    """(part, bits, off, n_survivors) of each hash partition, from its rows in the order of their slots."""
+    """(part, bits, off, n_survivors) of each hash partition; its masses come before its phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, mass, summary = None, 0, None
+        part, mass, summary = 0, 0, None
         keys, counts, held = [], [], 0
-
-        def add() -> None:
-            nonlocal keys, counts, held
-            if keys:
-                summary.merge(np.concatenate(keys), np.concatenate(counts))
-            keys, counts, held = [], [], 0
-
-        def ended() -> pa.RecordBatch:
-            add()
-            last = summary.survivors(least).view(np.uint64)
-            own = np.zeros(size, np.uint8)
-            own[field_bits(last, parts, size) - part * size] = 1
-            return pa.record_batch([
-                pa.array([part], pa.int64()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary()),
-                pa.array([summary.off], pa.int64()), pa.array([len(last)], pa.int64()),
-            ], ["part", "bits", "off", "n_survivors"])
-
         for batch in batches:
-            slot, h, n = (batch.column(c).to_numpy() for c in ("slot", "h", "n"))
-            at = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else []
-            for a, b in zip(at, [*at[1:], len(slot)], strict=True):
-                own, odd = divmod(int(slot[a]), 2)
-                if own != part:
-                    if part is not None:
-                        yield ended()
-                    part, mass, summary = own, 0, None
-                if not odd:
-                    mass += int(n[a:b].sum())
-                    continue
-                summary = summary or Summary(mass // least + 1)
-                keys.append(h[a:b])
-                counts.append(n[a:b])
-                held += b - a
-                if held >= max(summary.capacity, 1 << 18):
-                    add()
-        if part is not None:
-            yield ended()
-
-    own = rows.repartition(parts, F.floor(F.col("slot") / 2)).sortWithinPartitions("slot")
-    return own.mapInArrow(run, "part bigint, bits binary, off bigint, n_survivors bigint")
+            h, n = batch.column("h").to_numpy(), batch.column("n").to_numpy()
+            first = int((n < 0).sum())
+            if first:
+                part, mass = int(h[0]), mass - int(n[:first].sum())
+            if first == len(n):
+                continue
+            summary = summary or Summary(mass // least + 1)
+            keys.append(h[first:])
+            counts.append(n[first:])
+            held += len(n) - first
+            if held >= max(summary.capacity, 1 << 18):
+                summary.merge(np.concatenate(keys), np.concatenate(counts))
+                keys, counts, held = [], [], 0
+        if summary is None:
+            return
+        if keys:
+            summary.merge(np.concatenate(keys), np.concatenate(counts))
+        last = summary.survivors(least)
+        own = np.zeros(size, np.uint8)
+        own[field_bits(last, parts, size) - part * size] = 1
+        yield pa.record_batch([
+            pa.array([part], pa.int64()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary()),
+            pa.array([summary.off], pa.int64()), pa.array([len(last)], pa.int64()),
+        ], ["part", "bits", "off", "n_survivors"])
+
+    return rows.sortWithinPartitions(F.col("n") >= 0).mapInArrow(run, "part bigint, bits binary, off bigint, n_survivors bigint")
 
 
 def exact_counts(docs: DataFrame, field: np.ndarray, parts: int, size: int, longest: int, least: int) -> DataFrame:
@@ -241,7 +229,7 @@ def exact_counts(docs: DataFrame, field: np.ndarray, parts: int, size: int, long
             second = text.hashes(longest, 1)
             word, length, key = [], [], []
             for n, (x, y) in enumerate(zip(first, second, strict=True), 1):
-                place = field_bits(x, parts, size)
+                place = field_bits(signed(x), parts, size)
                 hit = np.flatnonzero(known[place >> 3] >> (place & 7).astype(np.uint8) & 1)
                 word.append(np.flatnonzero(text.left >= n)[hit])
                 length.append(np.full(len(hit), n))
