@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.text import fingerprint, fold, normalized, round_to, terms
 from newsloom.functions.vectors import cosine, norm, unit_interval
 from newsloom.operators.retrieval import coverage_first_topk
+from newsloom.session import cut_lineage
 from newsloom.settings import Settings
 
 # How much a labelled link adds to both articles.
@@ -19,6 +20,7 @@ RELATIONSHIP_WEIGHTS = {
     "unrelated": 0.0,
 }
 CLAIM_WEIGHT = 0.25
+PAIR_BLOCK = 512
 
 
 def shown_text(articles: DataFrame, retrieved: DataFrame) -> DataFrame:
@@ -56,8 +58,9 @@ def claim_pairs(claims: DataFrame, members: DataFrame) -> DataFrame:
     """G3. Scored pairs of one story from different articles and publishers.
 
     ``claims(cluster_id, article_id, claim_id, claim_text, vector)``. Only
-    ``coverage`` members take part: five articles of at most 30 claims each, so
-    a story of any size yields at most 9,000 pairs.
+    ``coverage`` members take part. A story's claims are dealt to blocks of about
+    ``PAIR_BLOCK``; two blocks meet on a key of their own, so a story of many
+    claims is the work of many tasks, and a small one is a single block.
     """
     active = members.filter("relationship = 'coverage'").select("cluster_id", "article_id", "publisher_id")
     own = claims.select("cluster_id", "article_id", "claim_id", "claim_text", "vector")
@@ -66,8 +69,17 @@ def claim_pairs(claims: DataFrame, members: DataFrame) -> DataFrame:
         norm(F.col("vector")).alias("length"),
         F.array_distinct(terms(F.col("claim_text"))).alias("terms"),
     )
-    left = side.select("cluster_id", *[F.col(c).alias(f"left_{c}") for c in side.columns[1:]])
-    right = side.select("cluster_id", *[F.col(c).alias(f"right_{c}") for c in side.columns[1:]])
+    side = cut_lineage(side)
+    sizes = side.groupBy("cluster_id").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("_blocks"))
+    blocked = side.join(sizes, "cluster_id").withColumn("_own", F.pmod(F.xxhash64("claim_id"), F.col("_blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
+    meet = blocked.select(*side.columns, "_own", others)
+
+    def named(own: str, kept: str, other: str) -> DataFrame:
+        columns = [F.col(c).alias(f"{own}_{c}") for c in side.columns[1:]]
+        return meet.select("cluster_id", F.col("_own").alias(kept), F.col("_other").alias(other), *columns)
+
+    left, right = named("left", "_left", "_right"), named("right", "_right", "_left")
     semantic = F.when(
         F.col("left_vector").isNotNull() & F.col("right_vector").isNotNull(),
         unit_interval(
@@ -76,7 +88,7 @@ def claim_pairs(claims: DataFrame, members: DataFrame) -> DataFrame:
     ).otherwise(0.0)
     lexical = jaccard(F.col("left_terms"), F.col("right_terms"))
     return (
-        left.join(right, "cluster_id")
+        left.join(right, ["cluster_id", "_left", "_right"])
         .filter(
             (F.struct("left_article_id", "left_claim_id") < F.struct("right_article_id", "right_claim_id"))
             & (F.col("left_article_id") != F.col("right_article_id"))

@@ -84,47 +84,59 @@ def chunk_text(
     )
 
 
+def _matches(tokens: Column, asked: Column) -> Column:
+    """Length of a token list and how often each asked term is in it, inside the row."""
+    def count(own: Column) -> Column:
+        found = F.filter(own, lambda t: F.array_contains(asked, t))
+        return F.struct(
+            F.size(own).alias("dl"),
+            let(found, lambda f: F.transform(asked, lambda t: F.size(f) - F.size(F.array_remove(f, t)))).alias("tf"),
+        )
+
+    return let(tokens, count)
+
+
+def _okapi(tf: Column, dl: Column, df: Column, n_docs: Column, avg_dl: Column) -> Column:
+    """BM25 of one document: ``tf`` and ``df`` are arrays over the asked terms."""
+    average = F.when(avg_dl == 0, 1.0).otherwise(avg_dl)
+
+    def weight(f: Column, n: Column) -> Column:
+        idf = F.log(1 + (n_docs - n + 0.5) / (n + 0.5))
+        return F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / average))).otherwise(0.0)
+
+    return F.aggregate(F.zip_with(tf, df, weight), F.lit(0.0), lambda acc, x: acc + x)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, group: list[str], doc: list[str], text: str = "text") -> DataFrame:
     """F3. Okapi BM25 of every document against its group's query.
 
     ``docs(*group, *doc, text)``, ``queries(*group, text)``, one query per group;
     the corpus is the group and query terms count once. Groups without a query
-    are not searched.
+    are not searched, nor are null texts.
 
-    Text is tokenised once: tokens meet the query terms on (group, term) and only
-    matches are counted and stored, with one empty term per document that carries
-    its length. The three statistics then read that small table. A big group
-    spreads over its terms, and the query side alone may be broadcast.
+    A group's query terms join its documents once; text is tokenised and counted inside
+    the row, and only lengths and counts are kept, one row a document. Document
+    frequencies are partial counts of (group, place of the term), so a big group needs no
+    task of its own.
     """
-    asked = queries.select(
-        *group, F.explode(F.array_union(F.array(F.lit("")), terms(F.col(text)))).alias("term")
-    )
-    tokens = (
-        docs.select(*group, *doc, terms(F.col(text)).alias("tokens"))
-        .select(*group, *doc, F.size("tokens").alias("dl"),
-                F.explode(F.concat(F.array(F.lit("")), F.col("tokens"))).alias("term"))
-    )
+    asked = queries.select(*group, F.array_distinct(terms(F.col(text))).alias("_asked"))
     counts = cut_lineage(
-        tokens.join(asked, [*group, "term"], "left_semi")
-        .groupBy(*group, *doc, "dl", "term")
-        .agg(F.count("*").alias("tf"))
+        docs.filter(F.col(text).isNotNull()).join(asked, group)
+        .select(*group, *doc, _matches(terms(F.col(text)), F.col("_asked")).alias("_m"))
+        .select(*group, *doc, "_m.dl", "_m.tf")
     )
-    members = counts.filter("term = ''").select(*group, *doc, "dl")
-    hits = counts.filter("term <> ''")
-    stats = members.groupBy(*group).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    df = hits.groupBy(*group, "term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    average = F.when(F.col("avg_dl") == 0, 1.0).otherwise(F.col("avg_dl"))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))
-    scores = (
-        hits.join(df, [*group, "term"])
-        .join(stats, group)
-        .groupBy(*group, *doc)
-        .agg(F.sum(weight).alias("hit"))
-    )
-    return members.join(scores, [*group, *doc], "left").select(
-        *group, *doc, F.coalesce("hit", F.lit(0.0)).alias("score")
+    stats = counts.groupBy(*group).agg(
+        F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"), F.max(F.size("tf")).alias("_asked"))
+    df = (
+        counts.select(*group, F.posexplode("tf").alias("k", "f")).filter("f > 0")
+        .groupBy(*group, "k").agg(F.count("*").alias("df"))
+        .groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("k", "df"))).alias("df"))
     )
+    places = F.when(F.col("_asked") > 0, F.sequence(F.lit(0), F.col("_asked") - 1)).otherwise(F.array().cast("array<int>"))
+    known = stats.join(df, group, "left").select(
+        *group, "n_docs", "avg_dl", F.transform(places, lambda k: F.coalesce(F.try_element_at("df", k), F.lit(0))).alias("df"))
+    score = _okapi(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avg_dl"))
+    return counts.join(known, group).select(*group, *doc, score.alias("score"))
 
 
 def minmax(scores: DataFrame, group: list[str], score: str = "score") -> DataFrame:
@@ -285,26 +297,28 @@ def local_search(
     return coverage_first_topk(scored, ["search_id"], ["article_id"], order, limit)
 
 
-def best_excerpt(
-    documents: DataFrame, queries: DataFrame, target_words: int = 350
-) -> DataFrame:
+def best_excerpt(documents: DataFrame, target_words: int = 350) -> DataFrame:
     """F9. The window of each document that answers its query best; first on ties.
 
-    ``documents(doc_id, text)``, ``queries(doc_id, text)``.
+    ``documents(doc_id, text, query)``. A document is its own corpus, so windows are
+    cut, counted and compared inside the row and nothing is shuffled.
     """
     pieces = documents.select(
-        "doc_id", F.inline(windows(F.col("text"), target_words, min(60, target_words // 4)))
-    ).withColumnRenamed("chunk_text", "text")
-    place = ["chunk_index", "character_start", "character_end"]
-    order = F.struct(F.round("score", 9).alias("s"), (-F.col("chunk_index")).alias("o"))
-    best = (
-        bm25(pieces, queries, ["doc_id"], place)
-        .groupBy("doc_id")
-        .agg(F.max_by(F.struct(*place), order).alias("b"))
-        .select("doc_id", "b.*")
-    )
-    excerpt = F.substring("text", F.col("character_start") + 1, F.col("character_end") - F.col("character_start"))
-    return documents.join(best, "doc_id").select("doc_id", "chunk_index", excerpt.alias("excerpt"))
+        "doc_id", windows(F.col("text"), target_words, min(60, target_words // 4)).alias("pieces"),
+        F.array_distinct(terms(F.coalesce("query", F.lit("")))).alias("asked"),
+    ).filter("pieces is not null")
+    counted = pieces.select(
+        "doc_id", "asked", F.transform("pieces", lambda p: F.struct(
+            p["chunk_index"].alias("chunk_index"), p["chunk_text"].alias("excerpt"), _matches(terms(p["chunk_text"]), F.col("asked")).alias("m"),
+        )).alias("pieces"))
+    total = F.aggregate("pieces", F.lit(0).cast("bigint"), lambda acc, p: acc + p["m"]["dl"])
+    held = F.transform("asked", lambda t, k: F.size(F.filter("pieces", lambda p: F.get(p["m"]["tf"], k) > 0)))
+    known = counted.select("doc_id", "pieces", F.size("pieces").alias("n"), (total / F.size("pieces")).alias("average"), held.alias("df"))
+    scored = F.transform("pieces", lambda p: F.struct(
+        F.round(_okapi(p["m"]["tf"], p["m"]["dl"], F.col("df"), F.col("n"), F.col("average")), 9).alias("s"),
+        (-p["chunk_index"]).alias("o"), p["excerpt"].alias("excerpt")))
+    return known.select("doc_id", F.array_max(scored).alias("b")).select(
+        "doc_id", (-F.col("b.o")).alias("chunk_index"), F.col("b.excerpt").alias("excerpt"))
 
 
 def collect_excerpt(found: DataFrame, stored: DataFrame | None, max_words: int) -> DataFrame:

@@ -28,7 +28,7 @@ def l1(v):
     "l2_list_clusters",
     """
 SELECT cluster_id, CAST(event_date AS VARCHAR) AS event_date, representative_title, comparison_status,
-  (SELECT count(*) FROM v_members m WHERE m.cluster_id = c.cluster_id AND m.relationship = 'redundant') AS member_count
+  (SELECT count(*) FROM v_members m WHERE m.cluster_id = c.cluster_id) AS member_count
 FROM v_clusters c ORDER BY c.event_date DESC, cluster_id DESC LIMIT 50""",
 )
 def l2(v):

@@ -390,9 +390,9 @@ SELECT doc_id, chunk_index, sha256(text) AS excerpt_hash FROM v_pieces JOIN (
 USING (doc_id, chunk_index)""",
 )
 def f9(v):
-    documents = v.table("documents").select("doc_id", "text")
-    queries = documents.select("doc_id", F.substring("text", 1, 80).alias("text"))
-    return retrieval.best_excerpt(documents, queries).select(
+    """A document's query is its first 80 characters."""
+    documents = v.table("documents").select("doc_id", "text", F.substring("text", 1, 80).alias("query"))
+    return retrieval.best_excerpt(documents).select(
         "doc_id", "chunk_index", F.sha2("excerpt", 256).alias("excerpt_hash")
     )
 

@@ -287,15 +287,13 @@ class Views:
 
     @cached_property
     def claims(self) -> DataFrame:
-        """Stand-in for model output: the three longest sentences of every article."""
+        """Stand-in for model output: every distinct sentence of every article, the longest first."""
         # Cut behind every end mark: one pass, also over long text without any.
         pieces = F.filter(
             F.split("content_text", r"\n|(?<=[.!?])"), lambda s: (F.length(s) > 1) & F.right(s, F.lit(1)).isin(".", "!", "?")
         )
         sentences = F.array_distinct(F.transform(pieces, lambda s: F.trim(s)))
-        longest = F.slice(
-            F.sort_array(F.transform(sentences, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), 1, 3
-        )
+        longest = F.sort_array(F.transform(sentences, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s"))))
         cid = F.col("claim_id")
         return (
             self.articles.select("article_id", F.posexplode(longest).alias("k", "row"))
@@ -303,7 +301,8 @@ class Views:
                 self.vectors.select("article_id", F.col("story_id").alias("cluster_id"), "publisher_id", "vector"),
                 "article_id",
             )
-            .withColumn("claim_id", F.col("article_id") * 3 + F.col("k"))
+            # An article has fewer than 2^24 sentences: Spark's arrays and strings end before that.
+            .withColumn("claim_id", F.shiftleft("article_id", 24) + F.col("k"))
             .select(
                 "claim_id", "article_id", "cluster_id", "publisher_id",
                 F.col("row.s").alias("claim_text"),
@@ -627,15 +626,15 @@ LEFT JOIN v_vectors v USING (article_id)""",
     "v_cluster_chunks": """
 SELECT c.*, m.cluster_id FROM v_chunks c JOIN v_members m USING (article_id) WHERE m.relationship = 'coverage'""",
     "v_claims": f"""
-SELECT article_id * 3 + k - 1 AS claim_id, article_id, story_id AS cluster_id, publisher_id, s AS claim_text,
-  CASE WHEN (article_id * 3 + k - 1) % 6 = 0 THEN 'made up ' || s ELSE upper(s) END AS supporting_excerpt,
-  0.5 + ((article_id * 3 + k - 1) % 5) / 10.0 AS confidence,
-  CASE WHEN (article_id * 3 + k - 1) % 10 <> 0 THEN vector END AS vector,
-  {AS_OF_SQL} - to_hours((article_id * 3 + k - 1) % 700) AS created_at,
-  {AS_OF_SQL} + to_days(CAST((article_id * 3 + k - 1) % 11 - 5 AS INT)) AS expires_at
-FROM (SELECT article_id, s, row_number() OVER (PARTITION BY article_id ORDER BY length(s) DESC, s) AS k FROM (
+SELECT claim_id, article_id, story_id AS cluster_id, publisher_id, s AS claim_text,
+  CASE WHEN claim_id % 6 = 0 THEN 'made up ' || s ELSE upper(s) END AS supporting_excerpt,
+  0.5 + (claim_id % 5) / 10.0 AS confidence,
+  CASE WHEN claim_id % 10 <> 0 THEN vector END AS vector,
+  {AS_OF_SQL} - to_hours(claim_id % 700) AS created_at,
+  {AS_OF_SQL} + to_days(CAST(claim_id % 11 - 5 AS INT)) AS expires_at
+FROM (SELECT article_id, s, article_id * 16777216 + row_number() OVER (PARTITION BY article_id ORDER BY length(s) DESC, s) - 1 AS claim_id FROM (
         SELECT DISTINCT article_id, trim(unnest(regexp_extract_all(content_text, '[^.!?\\n]+[.!?]')), ' ') AS s FROM v_articles))
-JOIN v_vectors USING (article_id) WHERE k <= 3""",
+JOIN v_vectors USING (article_id)""",
     "v_terms": """
 SELECT claim_id, list_distinct(regexp_extract_all(replace(lower(claim_text), 'ß', 'ss'), '[a-z0-9]+')) AS terms FROM v_claims""",
     "v_all_pairs": f"""

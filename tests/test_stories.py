@@ -178,6 +178,29 @@ def test_bm25_of_one_group(spark):
     assert got == pytest.approx({1: weight(1, 3), 2: weight(2, 3), 3: 0.0, 9: 0.0})
 
 
+def test_best_excerpt_is_the_best_window(spark):
+    text = " ".join(["filler"] * 400 + ["needle thread"] + ["filler"] * 500)
+    docs = [(1, text, "Needle!"), (2, "short text", "absent"), (3, None, "x"), (4, text, None), (5, "", "x")]
+    out = retrieval.best_excerpt(spark.createDataFrame(docs, "doc_id int, text string, query string"), 100)
+    got = {r["doc_id"]: (r["chunk_index"], "needle" in r["excerpt"]) for r in out.collect()}
+    assert got[1][1] and got[2] == (0, False) and got[4] == (0, False) and set(got) == {1, 2, 4}
+
+
+def test_pairs_of_a_hot_story_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "PAIR_BLOCK", 16)
+    claims = [(1 if i % 3 else 2, i % 7, i, f"term{i % 11} word{i % 5}", [1.0, float(i % 4)] if i % 6 else None) for i in range(210)]
+    members = [(c, a, a % 3, "coverage" if a != 6 else "redundant") for c in (1, 2) for a in range(7)]
+    got = evidence.claim_pairs(
+        spark.createDataFrame(claims, "cluster_id int, article_id int, claim_id int, claim_text string, vector array<double>"),
+        spark.createDataFrame(members, "cluster_id int, article_id int, publisher_id int, relationship string"))
+    want = {
+        (x[0], x[2], y[2]) for x in claims for y in claims
+        if x[0] == y[0] and (x[1], x[2]) < (y[1], y[2]) and x[1] != y[1] and x[1] % 3 != y[1] % 3 and 6 not in (x[1], y[1])
+    }
+    rows = [(r["cluster_id"], r["left_claim_id"], r["right_claim_id"]) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
 def test_representative_prefers_linked_claims(spark):
     claims = spark.createDataFrame([(1, 10, 1, 0.9), (1, 20, 2, 0.8), (1, 30, 3, 0.99)], "cluster_id int, article_id bigint, claim_id bigint, confidence double")
     pairs = spark.createDataFrame([(1, 1, 2), (1, 2, 3)], "cluster_id int, left_claim_id bigint, right_claim_id bigint")
