@@ -1,5 +1,8 @@
 """The registered queries and their SQL twins fit together."""
 
+import sys
+import warnings
+
 import __spark_entry__ as contract
 from newsloom.plans import load_registry
 
@@ -11,6 +14,13 @@ def test_every_query_has_a_twin_or_is_known_without():
     assert {n for n in without if n in load_registry()} == ROWS_ONLY
 
 
+def test_core_queries_stay_without_the_subpackage(monkeypatch):
+    monkeypatch.setitem(sys.modules, "newsloom.llm.queries", None)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    with warnings.catch_warnings(record=True):
+        assert set(contract.queries()) == set(load_registry()) >= set(contract.oracle_sql())
+
+
 def test_entry_gives_ranked_lists(spark):
     df = contract.entry(spark)
     assert {"user_id", "rank", "article_id", "total_score"} <= set(df.columns)
