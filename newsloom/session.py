@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """The session, with this package sent to its Python workers, once an application.
+
+    Spark serves the archive from the driver, so workers need no installed copy
+    and no common folder.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        name = os.path.join(tempfile.mkdtemp(prefix="package-"), f"{os.path.basename(PACKAGE)}.zip")
+        with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as out:
+            for folder, _, files in os.walk(PACKAGE):
+                for f in files:
+                    if f.endswith(".py"):
+                        path = os.path.join(folder, f)
+                        out.write(path, os.path.relpath(path, os.path.dirname(PACKAGE)))
+        sc.addPyFile(name)
+        _shipped.add(sc.applicationId)
+    return spark
+
 
 def build_session(app: str = "newsloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect.
@@ -23,14 +48,14 @@ def build_session(app: str = "newsloom", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
-    """Day casts and timestamps are defined in UTC, whatever the session came with."""
+    """Day casts and timestamps are defined in UTC, and workers have this package, whatever the session came with."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark
+    return ship(spark)
 
 
 def shared_folder(spark: SparkSession) -> str | None:

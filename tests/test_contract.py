@@ -1,5 +1,7 @@
 """The registered queries and their SQL twins fit together."""
 
+import os
+import subprocess
 import sys
 import warnings
 
@@ -21,6 +23,21 @@ def test_core_queries_stay_without_the_subpackage(monkeypatch):
         assert set(contract.queries()) == set(load_registry()) >= set(contract.oracle_sql())
 
 
+def test_workers_have_the_package_from_any_folder(tmp_path):
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.abspath(contract.__file__))!r})
+import __spark_entry__ as contract
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config(
+    "spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+print("rows", contract.queries()["a9_prune_html"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "rows" in done.stdout, done.stderr[-2000:]
+
+
 def test_entry_gives_ranked_lists(spark):
     df = contract.entry(spark)
     assert {"user_id", "rank", "article_id", "total_score"} <= set(df.columns)
