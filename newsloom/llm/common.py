@@ -7,6 +7,7 @@ byte in UTF-8, so words are found in the bytes of a whole Arrow column at once.
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.session import cut_lineage
+from newsloom.session import cut_lineage, shared_folder, ship
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -37,7 +38,7 @@ def small_batches(spark: SparkSession) -> SparkSession:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return small_batches(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    return small_batches(ship(spark)).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def release(spark: SparkSession) -> None:
@@ -57,12 +58,9 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        sc.setCheckpointDir(base)
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share; on a cluster without ``spark.checkpoint.dir`` an error."""
+    base = shared_folder(spark) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def mix(x: np.ndarray) -> np.ndarray:

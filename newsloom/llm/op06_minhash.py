@@ -14,7 +14,8 @@ to the classes. A link at exactly the similarity is lost with probability 5e-5 b
 bands, and one between classes with 1e-3 by the estimate; both vanish quickly above it.
 
 Null texts and texts without a word are nobody's copies: each is a class of its own.
-Texts of fewer than ``size`` words are one shingle. Repeated rows with one id count once.
+Texts of fewer than ``size`` words are one shingle. Repeated rows with one id count once. Rows
+with a null id are in no class: one row with null class ids stands for them.
 """
 
 from __future__ import annotations
@@ -192,7 +193,8 @@ def _unequal(a: str, b: str) -> Column:
 def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per doc_id: class_id (smallest id of the class) and exact_of (smallest id with
     the same words). Links are found only as far as the classes need them, so none are counted."""
-    found = stored(sketch(docs, size, bands, rows))
+    own = docs.where("doc_id is not null")
+    found = stored(sketch(own, size, bands, rows))
     copies = stored(found.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     member = stored(
         found.select("doc_id", "d0", "d1").join(copies, ["d0", "d1"])
@@ -204,7 +206,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
     buckets = stored(banded.join(hubs.select("key", "hub"), "key").select("key", "id", "hub").distinct())
     star = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     named = buckets.select(F.col("id").alias("doc_id")).distinct()
-    profile = stored(profiles(docs.select("doc_id", "text").join(named, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
+    profile = stored(profiles(own.select("doc_id", "text").join(named, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
     tested = stored(verified(star, profile, 0.0))
     links = tested.where(F.col("similarity") >= similarity - 1e-9)
     roots = components(links)
@@ -250,5 +252,5 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     A null id belongs to no class; such rows stay.
     """
-    gone = stored(classes(docs.where("doc_id is not null"), **options).where("doc_id <> class_id").select("doc_id"))
+    gone = stored(classes(docs, **options).where("doc_id <> class_id").select("doc_id"))
     return docs.join(gone, "doc_id", "left_anti")

@@ -2,16 +2,17 @@
 
 1. Every document of ``window`` words or more names its anchors: the minimum-hash
    phrase of ``PHRASE`` words of each window. Equal windows have equal anchors.
-2. Anchors that recur in another document are confirmed by one shuffle of hashes.
-3. Documents are dealt to blocks of bounded text. A block compiles the confirmed
-   phrases of its own documents into an Aho-Corasick automaton, streams all its
-   documents through it and emits the fingerprints of the windows whose anchor it
-   located. A phrase is in one automaton of a block however many documents hold it.
-4. The smallest document of each fingerprint is found; windows of larger documents
-   that share it are removed, in a second pass over the blocks.
+2. Anchors named by two documents recur. Their words are fetched in a second pass, for anchors
+   whose bit is set in a field of ``FIELD`` bits, and confirmed: one row a phrase, however often it occurs.
+3. The confirmed phrases are dealt to shards of ``PHRASES``. Each shard is sent to all tasks, which
+   compile it into an Aho-Corasick automaton over letters of word hashes and stream all documents
+   through it, map-side: no text moves. Windows whose anchor is located give fingerprints.
+   This is one pass over the texts for each shard: passes grow with what repeats.
+4. The smallest document of each fingerprint is found by one shuffle of fingerprints; windows of larger documents
+   that share it are removed. The merged spans meet the text once, by doc_id.
 
 Copies of a whole text are folded beforehand and lose all words if they have a window.
-Fingerprints are 128 bits of the word bytes.
+Fingerprints are 128 bits of the word bytes. Two phrases with one anchor hash are both compiled.
 
 Null texts have no words. Rows with one doc_id never remove each other's words; each row
 gets its own result, equal rows equal ones. Rows with a null doc_id remove and lose nothing.
@@ -19,6 +20,7 @@ gets its own result, equal rows equal ones. Rows with a null doc_id remove and l
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,11 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import WORD_POWERS, Words, column_bytes, lists, signed, span_hashes, stored, text_steps
+from newsloom.llm.common import WORD_POWERS, U, Words, lists, mix, release, signed, span_hashes, stored, text_steps
 
 WINDOW = 50
 PHRASE = 16
-BLOCK_BYTES = 2 << 20
+#: Phrases of one automaton, and bits of the field of recurring anchors.
+PHRASES = 1 << 17
+FIELD = 1 << 26
+#: Parts that the field is gathered in.
+PARTS = 64
 
 
 def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +67,7 @@ def digest(words: Words, seed: int = 0) -> np.ndarray:
 
 
 def marks(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, digest of the word sequence, and its distinct anchors as word numbers and hashes."""
+    """doc_id, hash of the text, digest of the word sequence, and its distinct anchors; documents with a window only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, bounds in text_steps(batches):
@@ -72,145 +78,182 @@ def marks(docs: DataFrame, window: int) -> DataFrame:
             per = np.bincount(doc[new], minlength=len(bounds) - 1)
             long = pa.array(np.flatnonzero(words.count >= window))
             yield pa.record_batch([
-                batch.column("doc_id").take(long), pa.array(digest(words)).take(long), pa.array(digest(words, 1)).take(long),
-                lists((word[new] - words.first[doc[new]]).astype(np.int32), per, pa.int32()).take(long),
-                lists(signed(low[new]), per, pa.int64()).take(long),
-            ], ["doc_id", "d0", "d1", "at", "phrase"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, d0 bigint, d1 bigint, at array<int>, phrase array<bigint>")
-
-
-def _locate(window: int):
-    """Windows with a located anchor in a block: fingerprint, document and first word."""
-
-    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        ids = docs.column("doc_id").to_numpy()
-        data, bounds = column_bytes(docs.column("text"))
-        words = Words(data, bounds)
-        own = digest(words)
-        row_of = {key: i for i, key in enumerate(zip(ids.tolist(), own.tolist(), strict=True))}
-        automaton = ahocorasick.Automaton()
-        size = words.end - words.start
-        begin, doc, word, low = anchors(words, window)
-        hashes = words.hashes()
-        first = np.append(0, np.cumsum(size + 1))  # a word's place when words are joined by one space
-        raw = data.tobytes()
-        joined = b" ".join(raw[a:b] for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True))
-        folded = np.zeros(len(ids), bool)
-        for key, at in zip(
-            zip(known.column("doc_id").to_pylist(), known.column("d0").to_pylist(), strict=True), known.column("at").to_pylist(), strict=True
-        ):
-            row = row_of.get(key)
-            if row is None:
+                batch.column("doc_id").take(long), batch.column("hash").take(long), pa.array(digest(words)).take(long),
+                pa.array(digest(words, 1)).take(long), lists(signed(low[new]), per, pa.int64()).take(long),
+            ], ["doc_id", "hash", "d0", "d1", "phrases"])
+
+    return docs.mapInArrow(run, "doc_id bigint, hash bigint, d0 bigint, d1 bigint, phrases array<bigint>")
+
+
+def _place(h: np.ndarray) -> np.ndarray:
+    return (mix(h) % U(FIELD)).astype(np.int64)
+
+
+def field_of(recurring: DataFrame) -> np.ndarray:
+    """The field with the bits of all recurring anchors, gathered in ``PARTS`` parts of fixed size."""
+    size = FIELD // PARTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = _place(batch.column("phrase").to_numpy().view(np.uint64))
+            for part in np.unique(at // size).tolist():
+                bits = own.setdefault(part, np.zeros(size, np.uint8))
+                bits[at[at // size == part] - part * size] = 1
+        for part, bits in own.items():
+            yield pa.record_batch([pa.array([part]), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+
+    field = np.zeros(FIELD // 8, np.uint8)
+    part = F.pmod("phrase", F.lit(PARTS)).cast("int")
+    for r in recurring.repartition(PARTS, part).mapInArrow(run, "part bigint, bits binary").toLocalIterator():
+        field[r["part"] * size // 8 : (r["part"] + 1) * size // 8] |= np.frombuffer(r["bits"], np.uint8)
+    return field
+
+
+def letters_of(words: Words) -> np.ndarray:
+    """Two letters of six bits for each word. Small alphabets keep an automaton's nodes narrow; what
+    words share letters by chance is told apart by the fingerprints."""
+    h = words.hashes()
+    return np.column_stack([h >> U(40) & U(63), h >> U(50) & U(63)]).astype(np.uint8)
+
+
+def confirmed(docs: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
+    """(phrase, letters): the distinct word sequences of recurring anchors."""
+    sent = docs.sparkSession.sparkContext.broadcast(field_of(recurring))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, bounds in text_steps(batches):
+            words = Words(data, bounds)
+            _, _, word, low = anchors(words, window)
+            if not len(word):
                 continue
-            if at is None:
-                folded[row] = True
+            new = np.ones(len(word), bool)
+            new[1:] = word[1:] != word[:-1]
+            word, low = word[new], low[new]
+            at = _place(low)
+            hit = np.flatnonzero(sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            low, one = np.unique(low[hit], return_index=True)
+            letters = letters_of(words)[word[hit][one][:, None] + np.arange(PHRASE)]
+            yield pa.record_batch([pa.array(signed(low)), pa.array([x.tobytes() for x in letters], pa.binary())], ["phrase", "letters"])
+
+    found = docs.mapInArrow(run, "phrase bigint, letters binary")
+    return found.join(recurring, "phrase", "left_semi").distinct()
+
+
+#: Automata of this worker process: the last shard's only.
+_compiled: dict[str, ahocorasick.Automaton] = {}
+
+
+def automaton(name: str, phrases: list[bytes]) -> ahocorasick.Automaton:
+    """The automaton of a shard, compiled once a worker."""
+    if name not in _compiled:
+        _compiled.clear()
+        out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for phrase in phrases:
+            out.add_word(phrase.decode("latin-1"))
+        out.make_automaton()
+        _compiled[name] = out
+    return _compiled[name]
+
+
+def locate(found: ahocorasick.Automaton, letters: np.ndarray) -> np.ndarray:
+    """Whether a phrase of the automaton starts at a word."""
+    per = letters.shape[1]
+    at = np.array([end - length + 1 for end, length in found.iter(letters.tobytes().decode("latin-1"))], np.int64)
+    out = np.zeros(len(letters), bool)
+    out[at[at % per == 0] // per] = True
+    return out
+
+
+def located(docs: DataFrame, name: str, phrases: list[bytes], window: int) -> DataFrame:
+    """Runs of windows whose anchor the automaton locates: doc_id, hash, first window and the fingerprints."""
+    sent = docs.sparkSession.sparkContext.broadcast(phrases)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = automaton(name, sent.value)
+        for batch, data, bounds in text_steps(batches):
+            words = Words(data, bounds)
+            begin, doc, word, _ = anchors(words, window)
+            if not len(begin):
+                continue
+            take = np.flatnonzero(locate(own, letters_of(words))[word])
+            if not len(take):
                 continue
-            a = words.first[row] + at
-            phrase = joined[first[a] : first[a + PHRASE] - 1]
-            automaton.add_word(f" {phrase.decode('latin-1')} ", len(phrase) + 1)
-        located = np.zeros(len(words) + 1, bool)
-        if len(automaton):
-            automaton.make_automaton()
-            for row in range(len(ids)):
-                a, b = words.first[row], words.first[row + 1]
-                if b - a < window:
-                    continue
-                text = f" {joined[first[a] : first[b] - 1].decode('latin-1')} "
-                ends = [end - length for end, length in automaton.iter(text)]
-                located[np.searchsorted(first[a : b + 1], first[a] + np.array(ends, np.int64)) + a] = True
-        take = np.flatnonzero(located[word] & ~folded[doc]) if len(word) else np.zeros(0, np.int64)
-        begin = begin[take]
-        return pa.table({
-            "w0": signed(span_hashes(hashes, begin, begin + window, WORD_POWERS)),
-            "w1": signed(span_hashes(words.hashes(1), begin, begin + window, WORD_POWERS)),
-            "doc_id": pa.array(ids[doc[take]], pa.int64()), "d0": pa.array(own[doc[take]], pa.int64()),
-            "at": pa.array((begin - words.first[doc[take]]).astype(np.int32)),
-        })
-
-    return run
-
-
-def _remove(window: int, columns: list[str]):
-    """Documents of a block without the words under their repeated windows."""
-
-    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        ids = docs.column("doc_id").to_pylist()
-        data, bounds = column_bytes(docs.column("text"))
-        words = Words(data, bounds)
-        own = digest(words).tolist()
-        rows: dict[tuple, list[int]] = {}
-        for i, key in enumerate(zip(ids, own, strict=True)):
-            rows.setdefault(key, []).append(i)
-        cover = np.zeros(len(words) + 1, np.int64)
-        for key, at, to in zip(
-            zip(found.column("doc_id").to_pylist(), found.column("d0").to_pylist(), strict=True),
-            found.column("at").to_pylist(), found.column("to").to_pylist(), strict=True,
-        ):
-            for row in rows.get(key, ()):
-                a, b = words.first[row], words.first[row + 1]
-                cover[a + at] += 1
-                cover[b if to is None else a + to] -= 1
-        gone = np.cumsum(cover)[:-1] > 0
-        raw = data.tobytes()
-        texts, removed = [], []
-        for a, b in zip(words.first[:-1], words.first[1:], strict=True):
-            keep = np.flatnonzero(~gone[a:b]) + a
-            texts.append(b" ".join(raw[s:e] for s, e in zip(words.start[keep].tolist(), words.end[keep].tolist(), strict=True)))
-            removed.append(int(b - a - len(keep)))
-        return docs.select(columns).append_column("n_words", pa.array(words.count.astype(np.int64))).append_column(
-            "n_removed", pa.array(removed, pa.int64())).append_column("kept_text", pa.array(texts, pa.binary()).cast(pa.string()))
-
-    return run
-
-
-def repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """Word ranges to remove, as (doc_id, d0, at, to); ``to`` null is the end of the text. And the number of blocks."""
-    own = docs.where("doc_id is not null").select("doc_id", "text")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
+            begin, doc = begin[take], doc[take]
+            new = np.ones(len(begin), bool)
+            new[1:] = (begin[1:] != begin[:-1] + 1) | (doc[1:] != doc[:-1])
+            at = np.flatnonzero(new)
+            size = np.diff(np.append(at, len(begin)))
+            rows = pa.array(doc[at])
+            yield pa.record_batch([
+                batch.column("doc_id").take(rows), batch.column("hash").take(rows), pa.array((begin[at] - words.first[doc[at]]).astype(np.int32)),
+                *(lists(signed(span_hashes(words.hashes(seed), begin, begin + window, WORD_POWERS)), size, pa.int64()) for seed in (0, 1)),
+            ], ["doc_id", "hash", "at", "w0", "w1"])
+
+    return docs.mapInArrow(run, "doc_id bigint, hash bigint, at int, w0 array<bigint>, w1 array<bigint>")
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, phrases: int = PHRASES) -> DataFrame:
+    """Words to remove, as (doc_id, hash, spans) with the text's hash; ``to`` null is the end of the text."""
+    own = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("hash"))
     mark = stored(marks(own, window))
-    copies = stored(mark.groupBy("d0", "d1").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"))
+    copies = mark.groupBy("d0", "d1").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     folded = stored(
-        mark.select("doc_id", "d0", "d1").join(copies.select("d0", "d1", "least"), ["d0", "d1"])
-        .where("doc_id > least").select("doc_id", "d0").distinct()
-    )
-    each = (
-        mark.join(folded, ["doc_id", "d0"], "left_anti")
-        .select("doc_id", "d0", F.explode(F.arrays_zip("at", "phrase")).alias("a"))
-        .select("doc_id", "d0", F.col("a.at").alias("at"), F.col("a.phrase").alias("phrase"))
+        mark.select("doc_id", "hash", "d0", "d1").join(copies.select("d0", "d1", "least"), ["d0", "d1"])
+        .where("doc_id > least").select("doc_id", "hash").distinct()
     )
     recurring = stored(
-        each.groupBy("phrase").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("phrase")
+        mark.join(folded, ["doc_id", "hash"], "left_anti").select("doc_id", F.explode("phrases").alias("phrase"))
+        .groupBy("phrase").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("phrase")
     )
-    known = each.join(recurring, "phrase").select("doc_id", "d0", "at").unionAll(folded.withColumn("at", F.lit(None).cast("int")))
-    found = stored(
-        own.withColumn("block", block).groupBy("block")
-        .cogroup(known.withColumn("block", block).groupBy("block"))
-        .applyInArrow(_locate(window), "w0 bigint, w1 bigint, doc_id bigint, d0 bigint, at int")
-    )
-    shared = stored(
-        found.groupBy("w0", "w1").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-        .select("w0", "w1", "least")
-    )
-    again = found.join(shared, ["w0", "w1"]).where("doc_id > least")
-    ranges = again.select("doc_id", "d0", "at", (F.col("at") + window).alias("to"))
-    whole = folded.select("doc_id", "d0", F.lit(0).alias("at"), F.lit(None).cast("int").alias("to"))
-    return ranges.unionAll(whole), blocks
+    phrase = stored(confirmed(own, recurring, window))
+    shards = -(-phrase.count() // phrases)
+    shard = F.pmod(F.xxhash64("letters"), F.lit(max(shards, 1)))
+    found = docs.sparkSession.createDataFrame([], "doc_id bigint, hash bigint, at int, w0 array<bigint>, w1 array<bigint>")
+    for i in range(shards):
+        part = [bytes(r["letters"]) for r in phrase.where(shard == i).select("letters").distinct().collect()]
+        found = found.unionAll(stored(located(own, uuid.uuid4().hex, part, window)))
+    each = found.join(folded, ["doc_id", "hash"], "left_anti").select(
+        "doc_id", "hash", "at", F.posexplode(F.arrays_zip("w0", "w1")).alias("k", "w")).select(
+        "doc_id", "hash", (F.col("at") + F.col("k")).alias("at"), "w.w0", "w.w1")
+    shared = each.groupBy("w0", "w1").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w0", "w1", "least")
+    gone = each.join(shared, ["w0", "w1"]).where("doc_id > least")
+    # A document's windows, in order; the words that they cover are found where the text is.
+    spans = gone.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    return folded.withColumn("at", F.lit(None).cast("array<int>")).withColumn("whole", F.lit(True)).unionAll(spans.withColumn("whole", F.lit(False)))
 
 
-def removal(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def removal(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), window: int = WINDOW, phrases: int = PHRASES) -> DataFrame:
     """Per row: the named columns, n_words, n_removed and kept_text (kept words joined by one space)."""
-    found, blocks = repeats(docs, window, block_bytes)
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
     names = list(dict.fromkeys(columns))
+    gone = stored(repeats(docs, window, phrases)).select(
+        F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("at").alias("_at"), F.col("whole").alias("_whole"))
+    release(docs.sparkSession)  # the shuffles of fingerprints are over before the texts meet their spans
     source = docs.select(*dict.fromkeys([*names, "doc_id", "text"]))
-    # Rows without an id are dealt out by their text: one block could not hold them.
-    at_random = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text"))), F.lit(blocks))
+    joined = source.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left").drop("_id", "_hash")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, bounds in text_steps(batches):
+            words = Words(data, bounds)
+            at = batch.column("_at")
+            cover = np.zeros(len(words) + 1, np.int64)
+            size = at.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            start = at.flatten().to_numpy() + np.repeat(words.first[:-1], size)
+            np.add.at(cover, start, 1)
+            np.add.at(cover, start + window, -1)
+            whole = np.flatnonzero(batch.column("_whole").fill_null(False).to_numpy(zero_copy_only=False))
+            np.add.at(cover, words.first[whole], 1)
+            np.add.at(cover, words.first[whole + 1], -1)
+            gone = np.cumsum(cover)[:-1] > 0
+            raw = data.tobytes()
+            texts, removed = [], []
+            for a, b in zip(words.first[:-1], words.first[1:], strict=True):
+                keep = np.flatnonzero(~gone[a:b]) + a
+                texts.append(b" ".join(raw[s:e] for s, e in zip(words.start[keep].tolist(), words.end[keep].tolist(), strict=True)))
+                removed.append(int(b - a - len(keep)))
+            yield pa.record_batch(
+                [*(batch.column(c) for c in names), pa.array(words.count.astype(np.int64)), pa.array(removed, pa.int64()),
+                 pa.array(texts, pa.binary()).cast(pa.string())], [*names, "n_words", "n_removed", "kept_text"])
+
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*names).schema)
-    return (
-        source.withColumn("block", F.when(F.col("doc_id").isNull(), at_random).otherwise(block)).groupBy("block")
-        .cogroup(found.withColumn("block", block).groupBy("block"))
-        .applyInArrow(_remove(window, names), f"{schema}, n_words bigint, n_removed bigint, kept_text string")
-    )
+    return joined.mapInArrow(run, f"{schema}, n_words bigint, n_removed bigint, kept_text string")

@@ -14,7 +14,9 @@ Turns are formatted one by one, so no conversation is gathered in one row. ``dig
 written turns back in order: rows are dealt by conversation and sorted, and hashes run along;
 a task holds one batch of rows, however long a conversation is.
 
-Null texts and roles are empty; null parts are skipped. Turns with equal numbers are ordered by
+Null texts and roles are empty; null parts are skipped. Adjacent text parts are escaped as one text. A
+part of an unknown type is a document; a size that is no positive number counts as not given; a part that
+is no object is text. Turns with equal numbers are ordered by
 role and text; repeated rows are repeated turns. A null conv_id is one conversation.
 """
 
@@ -38,7 +40,6 @@ CONTROL = (
     "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>",
 )
 _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROL) + r"|\\")
-_ESCAPED = re.compile(r"\\\\|(?<=[<\[])\\")
 #: Tokens that one attachment stands for, if its part does not say: fixed for images, by length else.
 TOKENS = {"image": 256, "audio": 50, "document": 1}
 
@@ -71,6 +72,15 @@ class Flat:
     tokens: int = 0
 
 
+def number(part: dict, name: str, default: float = 1) -> float:
+    """A size of a part; what is no positive finite number counts as not given."""
+    try:
+        value = float(part.get(name) or default)
+    except (TypeError, ValueError):
+        return default
+    return value if 0 < value < 1e15 else default
+
+
 class Visitor:
     """Walks typed parts in order. A new kind of part is a new ``visit_`` method."""
 
@@ -78,13 +88,21 @@ class Visitor:
         self.trained, self.flat = role == "assistant", Flat()
 
     def visit(self, parts: list[dict]) -> Flat:
-        for part in parts:
-            if part:
-                getattr(self, f"visit_{part.get('type') or 'text'}")(part)
+        run: list[str] = []  # adjacent text parts are one text: a control string may span them
+        for part in filter(None, parts if isinstance(parts, list) else [parts]):
+            part = part if isinstance(part, dict) else {"text": part}
+            kind = str(part.get("type") or "text")
+            if kind == "text":
+                run.append(str(part.get("text") or ""))
+                continue
+            self.visit_text("".join(run))
+            run = []
+            getattr(self, f"visit_{kind}", self.visit_document)(part)
+        self.visit_text("".join(run))
         return self.flat
 
-    def visit_text(self, part: dict) -> None:
-        text = escape(part.get("text") or "")
+    def visit_text(self, raw: str) -> None:
+        text = escape(raw)
         start = len(self.flat.content)
         self.flat.content += text
         if self.trained and text:
@@ -97,14 +115,14 @@ class Visitor:
 
     def visit_image(self, part: dict) -> None:
         """A tile of 256 tokens for every 512 x 512 pixels begun; one tile if the size is not known."""
-        tiles = max(1, -(-int(part.get("width") or 1) // 512) * -(-int(part.get("height") or 1) // 512))
-        self._attach("image", part, part.get("tokens") or TOKENS["image"] * tiles)
+        tiles = max(1, -(-int(number(part, "width")) // 512) * -(-int(number(part, "height")) // 512))
+        self._attach("image", part, int(number(part, "tokens", 0)) or TOKENS["image"] * tiles)
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, part.get("tokens") or int(TOKENS["audio"] * max(1.0, float(part.get("seconds") or 1))))
+        self._attach("audio", part, int(number(part, "tokens", 0)) or int(TOKENS["audio"] * max(1.0, number(part, "seconds"))))
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, part.get("tokens") or TOKENS["document"] * max(1, len(part.get("text") or "") // 4))
+        self._attach("document", part, int(number(part, "tokens", 0)) or TOKENS["document"] * max(1, len(str(part.get("text") or "")) // 4))
 
 
 def format_turn(role: str | None, parts: list[dict]) -> tuple[str, Flat]:

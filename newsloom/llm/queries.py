@@ -55,7 +55,7 @@ def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op06_minhash.classes(read(spark, sf_dir, "documents").where("doc_id is not null"))
+    return op06_minhash.classes(read(spark, sf_dir, "documents"))
 
 
 def op7_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def op9_content_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id bigint, turn bigint, role string, text string")
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return op09_chat.digests(op09_chat.format_turns(op09_chat.text_parts(turns))).drop("n_expanded")
+    return op09_chat.digests(op09_chat.format_turns(op09_chat.text_parts(turns)))
 
 
 def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,7 +227,7 @@ def test_repeated_passages_equal_brute_force(spark):
     for i in sorted(text):
         for k in range(len(text[i]) - 49):
             least.setdefault(tuple(text[i][k : k + 50]), i)
-    for r in op07_substring.removal(extra(docs), block_bytes=2000).collect():
+    for r in op07_substring.removal(extra(docs), phrases=8).collect():
         w = text.get(r["doc_id"], ["text", "without", "an", "id"])
         gone = {j for k in range(len(w) - 49) if least[tuple(w[k : k + 50])] < r["doc_id"] for j in range(k, k + 50)}
         assert (r["n_words"], r["n_removed"]) == (len(w), len(gone))
@@ -235,6 +235,19 @@ def test_repeated_passages_equal_brute_force(spark):
     assert op07_substring.removal(docs.limit(0)).count() == 0
 
 
+def test_automaton_locates_what_nothing_named(spark):
+    """Phrases of one document, compiled alone, are found in documents that gave none."""
+    a = words(90, 21)
+    rows = [(1, " ".join(a)), (2, " ".join(words(30, 22) + a[5:75] + words(30, 23))), (3, " ".join(words(200, 24)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("hash", F.xxhash64("text"))
+    named = op07_substring.marks(docs.where("doc_id = 1"), 50).select(F.explode("phrases").alias("phrase"))
+    phrases = [bytes(r["letters"]) for r in op07_substring.confirmed(docs.where("doc_id = 1"), named, 50).collect()]
+    found = op07_substring.located(docs, "test", phrases, 50).collect()
+    windows = {(r["doc_id"], r["at"] + k) for r in found for k in range(len(r["w0"]))}
+    assert windows >= {(1, i) for i in range(41)} | {(2, 30 + i) for i in range(21)}
+    assert not any(doc == 3 for doc, _ in windows)
+
+
 def test_leaks_are_found_and_clean_texts_left(spark):
     items = [(i, " ".join(words(40, 100 + i))) for i in range(8)] + [(90, None), (91, "two words"), (None, "x y z w v")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
@@ -372,3 +385,31 @@ def test_pipeline_stages_keep_their_contract(spark):
 
 def test_every_operator_has_its_query():
     assert [q.split("_")[0] for q in queries.QUERIES] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+
+
+def test_adjacent_text_parts_bring_in_no_control_string():
+    for cut in (["<|done", "|><|tu", "rn|>"], ["</", "s>", "\\", "<"], ["<|im", None, "_start|>"]):
+        parts = [{"type": "text", "text": x} for x in cut]
+        written, flat = op09_chat.format_turn("assistant", parts)
+        whole = "".join(x or "" for x in cut)
+        assert op09_chat.read_turn(written, flat.loss) == ("assistant", whole, whole)
+        assert sum(written.count(c) for c in op09_chat.CONTROL) == 3
+
+
+def test_odd_parts_are_defined():
+    parts = [
+        {"type": "video", "ref": "v", "text": "x" * 40}, {"type": "image", "width": "wide", "height": -3}, None, {},
+        {"type": "audio", "seconds": float("nan")}, "plain", {"type": 7, "tokens": "12"}, {"text": 5},
+    ]
+    written, flat = op09_chat.format_turn("user", parts)
+    assert [(x["kind"], x["tokens"]) for x in flat.attachments] == [("document", 10), ("image", 256), ("audio", 50), ("document", 12)]
+    assert op09_chat.read_turn(written, flat.loss)[1].endswith("plain<|document|>5")
+    assert op09_chat.format_turn(None, [])[1].tokens == 0
+
+
+def test_rows_without_an_id_are_in_no_class(spark):
+    text = " ".join(words(80, 31))
+    docs = spark.createDataFrame([(1, text, None, None, 0), (2, text, None, None, 0), (None, text, None, None, 0)], DOCS)
+    got = {r["doc_id"]: r["class_id"] for r in op06_minhash.classes(docs).collect()}
+    assert got == {1: 1, 2: 1, None: None}
+    assert sorted((r["doc_id"] for r in op06_minhash.keep_one(docs).collect()), key=str) == [1, None]
