@@ -9,10 +9,11 @@
    through it, map-side: no text moves. Windows whose anchor is located give fingerprints.
    This is one pass over the texts for each shard: passes grow with what repeats.
 4. The smallest document of each fingerprint is found by one shuffle of fingerprints; windows of larger documents
-   that share it are removed. The merged spans meet the text once, by doc_id.
+   that share it are removed. Only the texts of documents whose doc_id has its
+   bit set in a field of those that lose words are shuffled, once, to meet their windows.
 
 Copies of a whole text are folded beforehand and lose all words if they have a window.
-Fingerprints are 128 bits of the word bytes. Two phrases with one anchor hash are both compiled.
+Fingerprints are 96 bits of the word bytes. Two phrases with one anchor hash are both compiled.
 
 Null texts have no words. Rows with one doc_id never remove each other's words; each row
 gets its own result, equal rows equal ones. Rows with a null doc_id remove and lose nothing.
@@ -86,30 +87,35 @@ def marks(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _place(h: np.ndarray) -> np.ndarray:
-    return (mix(h) % U(FIELD)).astype(np.int64)
+    return (h % U(PARTS) * U(FIELD // PARTS) + mix(h) % U(FIELD // PARTS)).astype(np.int64)
 
 
-def field_of(recurring: DataFrame) -> np.ndarray:
-    """The field with the bits of all recurring anchors, gathered in ``PARTS`` parts of fixed size."""
+def field_of(keys: DataFrame) -> np.ndarray:
+    """The field with the bits of all values of ``key``, gathered in ``PARTS`` parts of fixed size."""
     size = FIELD // PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, np.ndarray] = {}
+        bits, part = np.zeros(size, np.uint8), None
         for batch in batches:
-            at = _place(batch.column("phrase").to_numpy().view(np.uint64))
-            for part in np.unique(at // size).tolist():
-                bits = own.setdefault(part, np.zeros(size, np.uint8))
-                bits[at[at // size == part] - part * size] = 1
-        for part, bits in own.items():
+            if batch.num_rows:
+                at = _place(batch.column("key").to_numpy().view(np.uint64))
+                part = int(at[0]) // size
+                bits[at - part * size] = 1
+        if part is not None:
             yield pa.record_batch([pa.array([part]), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
 
     field = np.zeros(FIELD // 8, np.uint8)
-    part = F.pmod("phrase", F.lit(PARTS)).cast("int")
-    for r in recurring.repartition(PARTS, part).mapInArrow(run, "part bigint, bits binary").toLocalIterator():
-        field[r["part"] * size // 8 : (r["part"] + 1) * size // 8] |= np.frombuffer(r["bits"], np.uint8)
+    part = F.pmod("key", F.lit(PARTS)).cast("int")
+    for r in keys.repartitionById(PARTS, part).mapInArrow(run, "part bigint, bits binary").toLocalIterator():
+        field[r["part"] * size // 8 : (r["part"] + 1) * size // 8] = np.frombuffer(r["bits"], np.uint8)
     return field
 
 
+def is_set(field: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = _place(h)
+    return (field[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def letters_of(words: Words) -> np.ndarray:
     """Two letters of six bits for each word. Small alphabets keep an automaton's nodes narrow; what
     words share letters by chance is told apart by the fingerprints."""
@@ -119,7 +125,7 @@ def letters_of(words: Words) -> np.ndarray:
 
 def confirmed(docs: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
     """(phrase, letters): the distinct word sequences of recurring anchors."""
-    sent = docs.sparkSession.sparkContext.broadcast(field_of(recurring))
+    sent = docs.sparkSession.sparkContext.broadcast(field_of(recurring.select(F.col("phrase").alias("key"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, bounds in text_steps(batches):
@@ -130,8 +136,7 @@ def confirmed(docs: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
             new = np.ones(len(word), bool)
             new[1:] = word[1:] != word[:-1]
             word, low = word[new], low[new]
-            at = _place(low)
-            hit = np.flatnonzero(sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            hit = np.flatnonzero(is_set(sent.value, low))
             low, one = np.unique(low[hit], return_index=True)
             letters = letters_of(words)[word[hit][one][:, None] + np.arange(PHRASE)]
             yield pa.record_batch([pa.array(signed(low)), pa.array([x.tobytes() for x in letters], pa.binary())], ["phrase", "letters"])
@@ -187,10 +192,11 @@ def located(docs: DataFrame, name: str, phrases: list[bytes], window: int) -> Da
             rows = pa.array(doc[at])
             yield pa.record_batch([
                 batch.column("doc_id").take(rows), batch.column("hash").take(rows), pa.array((begin[at] - words.first[doc[at]]).astype(np.int32)),
-                *(lists(signed(span_hashes(words.hashes(seed), begin, begin + window, WORD_POWERS)), size, pa.int64()) for seed in (0, 1)),
+                lists(signed(span_hashes(words.hashes(), begin, begin + window, WORD_POWERS)), size, pa.int64()),
+                lists((span_hashes(words.hashes(1), begin, begin + window, WORD_POWERS) >> U(32)).astype(np.uint32).view(np.int32), size, pa.int32()),
             ], ["doc_id", "hash", "at", "w0", "w1"])
 
-    return docs.mapInArrow(run, "doc_id bigint, hash bigint, at int, w0 array<bigint>, w1 array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, hash bigint, at int, w0 array<bigint>, w1 array<int>")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, phrases: int = PHRASES) -> DataFrame:
@@ -209,7 +215,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, phrases: int = PHRASES) -> Da
     phrase = stored(confirmed(own, recurring, window))
     shards = -(-phrase.count() // phrases)
     shard = F.pmod(F.xxhash64("letters"), F.lit(max(shards, 1)))
-    found = docs.sparkSession.createDataFrame([], "doc_id bigint, hash bigint, at int, w0 array<bigint>, w1 array<bigint>")
+    found = docs.sparkSession.createDataFrame([], "doc_id bigint, hash bigint, at int, w0 array<bigint>, w1 array<int>")
     for i in range(shards):
         part = [bytes(r["letters"]) for r in phrase.where(shard == i).select("letters").distinct().collect()]
         found = found.unionAll(stored(located(own, uuid.uuid4().hex, part, window)))
@@ -230,30 +236,49 @@ def removal(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), window: int
         F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("at").alias("_at"), F.col("whole").alias("_whole"))
     release(docs.sparkSession)  # the shuffles of fingerprints are over before the texts meet their spans
     source = docs.select(*dict.fromkeys([*names, "doc_id", "text"]))
-    joined = source.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left").drop("_id", "_hash")
+    sent = docs.sparkSession.sparkContext.broadcast(field_of(gone.select(F.xxhash64("_id").alias("key"))))
+    plain = source.columns
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema]
+
+    def kept(batch: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray, at: np.ndarray, size: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
+        """Rows without the words of their windows (``at``, ``size`` of them a row), or of whole texts."""
+        words = Words(data, bounds)
+        cover = np.zeros(len(words) + 1, np.int64)
+        start = at + np.repeat(words.first[:-1], size)
+        np.add.at(cover, start, 1)
+        np.add.at(cover, start + window, -1)
+        np.add.at(cover, words.first[whole], 1)
+        np.add.at(cover, words.first[whole + 1], -1)
+        gone = np.cumsum(cover)[:-1] > 0
+        raw = data.tobytes()
+        texts, removed = [], []
+        for a, b in zip(words.first[:-1], words.first[1:], strict=True):
+            keep = np.flatnonzero(~gone[a:b]) + a
+            texts.append(b" ".join(raw[s:e] for s, e in zip(words.start[keep].tolist(), words.end[keep].tolist(), strict=True)))
+            removed.append(int(b - a - len(keep)))
+        return pa.record_batch(
+            [*(batch.column(c) for c in names), pa.array(words.count.astype(np.int64)), pa.array(removed, pa.int64()),
+             pa.array(texts, pa.binary()).cast(pa.string())], [*names, "n_words", "n_removed", "kept_text"])
+
+    def may_lose(batch: pa.RecordBatch) -> np.ndarray:
+        return is_set(sent.value, batch.column("_key").to_numpy().view(np.uint64)) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, bounds in text_steps(b.filter(pa.array(~may_lose(b))) for b in batches):
+            yield kept(batch, data, bounds, np.zeros(0, np.int64), np.zeros(len(bounds) - 1, np.int64), np.zeros(0, np.int64))
+
+    def losers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_lose(batch))).select(plain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, bounds in text_steps(batches):
-            words = Words(data, bounds)
             at = batch.column("_at")
-            cover = np.zeros(len(words) + 1, np.int64)
-            size = at.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            start = at.flatten().to_numpy() + np.repeat(words.first[:-1], size)
-            np.add.at(cover, start, 1)
-            np.add.at(cover, start + window, -1)
             whole = np.flatnonzero(batch.column("_whole").fill_null(False).to_numpy(zero_copy_only=False))
-            np.add.at(cover, words.first[whole], 1)
-            np.add.at(cover, words.first[whole + 1], -1)
-            gone = np.cumsum(cover)[:-1] > 0
-            raw = data.tobytes()
-            texts, removed = [], []
-            for a, b in zip(words.first[:-1], words.first[1:], strict=True):
-                keep = np.flatnonzero(~gone[a:b]) + a
-                texts.append(b" ".join(raw[s:e] for s, e in zip(words.start[keep].tolist(), words.end[keep].tolist(), strict=True)))
-                removed.append(int(b - a - len(keep)))
-            yield pa.record_batch(
-                [*(batch.column(c) for c in names), pa.array(words.count.astype(np.int64)), pa.array(removed, pa.int64()),
-                 pa.array(texts, pa.binary()).cast(pa.string())], [*names, "n_words", "n_removed", "kept_text"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*names).schema)
-    return joined.mapInArrow(run, f"{schema}, n_words bigint, n_removed bigint, kept_text string")
+            yield kept(batch, data, bounds, at.flatten().to_numpy(), at.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), whole)
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*names).schema), "n_words bigint, n_removed bigint, kept_text string"])
+    keyed = source.withColumn("_key", F.xxhash64("doc_id"))
+    affected = keyed.mapInArrow(losers, ", ".join(fields))
+    joined = affected.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left").drop("_id", "_hash")
+    return keyed.mapInArrow(others, schema).unionAll(joined.mapInArrow(run, schema))
