@@ -106,7 +106,7 @@ def field_of(keys: DataFrame) -> np.ndarray:
 
     field = np.zeros(FIELD // 8, np.uint8)
     part = F.pmod("key", F.lit(PARTS)).cast("int")
-    for r in keys.repartitionById(PARTS, part).mapInArrow(run, "part bigint, bits binary").toLocalIterator():
+    for r in keys.repartitionById(PARTS, part).mapInArrow(run, "part bigint, bits binary").collect():
         field[r["part"] * size // 8 : (r["part"] + 1) * size // 8] = np.frombuffer(r["bits"], np.uint8)
     return field
 

@@ -258,7 +258,7 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, part_b
     parts = max(1, -(-bytes_ // part_bytes))
     size = field_size(parts)
     field = np.zeros(parts * size // 8, np.uint8)
-    for r in summaries(dealt(own, parts, longest), parts, least, size).select("part", "bits").toLocalIterator():
+    for r in summaries(dealt(own, parts, longest), parts, least, size).select("part", "bits").collect():  # the field, in parts
         field[r["part"] * size // 8 : (r["part"] + 1) * size // 8] = np.frombuffer(r["bits"], np.uint8)
     return exact_counts(own, field, parts, size, longest, least)
 
