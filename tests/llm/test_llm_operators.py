@@ -5,10 +5,12 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -301,6 +303,22 @@ def test_leaks_equal_alignment_of_all_pairs(spark, monkeypatch):
         k for k in want if k[0] == 1000 or k[0] % 7 == 0}
 
 
+def test_items_that_share_a_pair_are_not_all_met(spark):
+    shared = [f"{' '.join(words(6, i))} of the {' '.join(words(6, 9000 + i))}" for i in range(4000)]
+    bench = spark.createDataFrame([(i, x) for i, x in enumerate(shared)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(0, "of the " * 5000, "en", "s", 1), (1, f"see {shared[7]} there", "en", "s", 1)], DOCS)
+    items = op08_decontaminate.item_words(bench).coalesce(1)
+    index = op08_decontaminate.index_items(items, docs, 0.5)
+    column = pa.array(["of the " * 5000])
+    tracemalloc.start()
+    held = op08_decontaminate.plain_words(column)
+    known = op08_decontaminate.seed_filter(index.seed)
+    assert not list(op08_decontaminate.passages(held, held.hashes(), index, known))
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert [(r["doc_id"], r["item_id"], r["score"]) for r in op08_decontaminate.matches(docs, bench).collect()] == [(1, 7, 1.0)]
+
+
 def test_smith_waterman_counts_gaps_and_edits():
     a = np.arange(10)
     assert op08_decontaminate.smith_waterman(a, a)[0] == 1
