@@ -67,16 +67,16 @@ walk_sql(
 # --- plans ----------------------------------------------------------------------
 
 
-def candidates(v: Views, selectable_only: bool = True) -> DataFrame:
+def candidates(v: Views, selectable_only: bool = True, order: str = "graph") -> DataFrame:
     scored = scoring.article_scores(v.eligible, SETTINGS, v.as_of)
     return scoring.score_candidates(
-        v.targets, scored, v.eligible_features, v.preferences, SETTINGS, selectable_only
+        v.targets, scored, v.eligible_features, v.preferences, SETTINGS, selectable_only, order
     )
 
 
 def daily_list(v: Views, order: str = "graph") -> DataFrame:
     """The reading list of every user: eligible articles, scored, personalised, walked."""
-    return scoring.budgeted_select(candidates(v, selectable_only=order == "graph"), order)
+    return scoring.budgeted_select(candidates(v, order=order), order)
 
 
 def explained(v: Views, rows: DataFrame) -> DataFrame:
@@ -382,12 +382,11 @@ UNION ALL SELECT user_id, 1, rank, article_id, total_score FROM v_list WHERE use
 def c10(v):
     """First the articles of this run (the last six hours); users left short get
     one more pass over everything extracted."""
-    pool = candidates(v, selectable_only=False)
-    new = scoring.budgeted_select(pool.filter(F.col("seen_at") >= v.as_of - F.expr("interval 6 hours")))
-    short = scoring.short_users(v.targets, new).select("user_id")
-    kept = new.join(short, "user_id", "left_anti").withColumn("expansion_round", F.lit(0))
-    wide = scoring.budgeted_select(pool.join(short, "user_id", "left_semi")).withColumn("expansion_round", F.lit(1))
-    return kept.unionByName(wide).select("user_id", "expansion_round", "rank", "article_id", "total_score")
+    scored = scoring.article_scores(v.eligible, SETTINGS, v.as_of)
+    found = scoring.expand_pool(
+        v.targets, scored, v.eligible_features, v.preferences, SETTINGS, v.as_of - F.expr("interval 6 hours")
+    )
+    return found.select("user_id", "expansion_round", "rank", "article_id", "total_score")
 
 
 # --- D --------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Filtering, scoring, selection and preferences on hand-made rows."""
 
 import random
+from collections import Counter
 from dataclasses import replace
 
 import pytest
@@ -145,8 +146,10 @@ def test_budget_skips_but_does_not_stop(spark):
     assert [(r["rank"], r["article_id"]) for r in scoring.budgeted_select(df).orderBy("rank").collect()] == [(1, 1), (2, 3)]
 
 
-def test_trimmed_candidates_give_the_same_lists(spark):
-    """Many articles of few profiles: the trim must not change any list."""
+@pytest.mark.parametrize("order", ["graph", "direct"])
+def test_trimmed_candidates_give_the_same_lists(spark, monkeypatch, order):
+    """Many articles of few profiles: the trim must not change any list, nor do the blocks of users."""
+    monkeypatch.setattr(scoring, "USERS_A_BLOCK", 4)
     rng = random.Random(7)
     arts = [(a, rng.randint(200, 2000), f"2024-01-{rng.choice([29, 30])} {rng.randint(1, 23):02d}:00:00", a % 3) for a in range(150)]
     base = spark.createDataFrame(arts, "article_id bigint, word_count bigint, p string, kind int")
@@ -164,11 +167,44 @@ def test_trimmed_candidates_give_the_same_lists(spark):
         spark.createDataFrame([(u, u, 2 * u) for u in range(14)], "user_id bigint, daily_list_length int, minutes_per_article int")
     )
 
-    def lists(trim):
-        out = scoring.budgeted_select(scoring.score_candidates(users, scored, feats, prefs, S, trim))
+    def rows_of(out):
         return sorted((r["user_id"], r["rank"], r["article_id"]) for r in out.collect())
 
-    assert lists(True) == lists(False) and lists(True)
+    def lists(trim, who=users, what=scored):
+        return rows_of(scoring.budgeted_select(scoring.score_candidates(who, what, feats, prefs, S, trim, order), order))
+
+    whole = lists(False)
+    assert lists(True) == whole and whole
+
+    since = F.lit("2024-01-30 22:00:00").cast("timestamp_ntz")
+    first = lists(False, what=scored.filter(F.col("seen_at") >= since))
+    taken = Counter(u for u, _, _ in first)
+    full = {r["user_id"] for r in users.collect() if taken[r["user_id"]] >= r["target_count"]}
+    assert full and len(full) < 14
+    want = sorted([x for x in first if x[0] in full] + [x for x in whole if x[0] not in full])
+    assert rows_of(scoring.expand_pool(users, scored, feats, prefs, S, since, order)) == want
+
+
+def test_rows_no_user_can_reach_are_cut_before_users_join(spark):
+    menu = spark.createDataFrame(
+        [(a, 2, f"p{a % 50}", 1, 50.0 - a / 10) for a in range(500)] + [(900, 2, "liked", 1, 20.0), (901, 2, None, 1, 45.1), (902, 2, "p0", 99, 90.0)],
+        "article_id bigint, minutes_per_article int, profile_id string, reading_minutes int, base_score double",
+    )
+    feats = spark.createDataFrame(
+        [(f"p{k}", "k", "common", 0.5) for k in range(50)] + [("liked", "k", "rare", 1.0), ("liked", "k", "common", 0.5)],
+        "profile_id string, feature_type string, feature_value string, confidence double",
+    )
+    prefs = spark.createDataFrame(
+        [(u, "k", "common", 0.02 * (u % 3 - 1), 1.0) for u in range(7)] + [(1, "k", "rare", 1.0, 1.0), (2, "k", "rare", 0.9, 1.0)],
+        "user_id bigint, feature_type string, feature_value string, score double, confidence double",
+    )
+    bounds = scoring.profile_bounds(feats, prefs, S)
+    assert {r["profile_id"]: (r["low"], r["high"]) for r in bounds.collect()} == {
+        "liked": (-0.3, 30.0), **{f"p{k}": (-0.3, 0.3) for k in range(50)}}
+    got = {r["article_id"] for r in scoring.selectable(menu, bounds, 5, 20).collect()}
+    # The fifth best row is worth 49.6 - 0.3 to everybody; the best user adds 0.3 to any other row.
+    assert got == {*range(11), 900}
+    assert {r["article_id"] for r in scoring.selectable(menu, bounds.limit(0), 5, 20).collect()} == {*range(5)}
 
 
 FEEDBACK = "event_id bigint, user_id bigint, article_id bigint, event_type string, reason string, created_at timestamp_ntz"
