@@ -109,12 +109,19 @@ def list_report(lists: DataFrame, items: DataFrame, articles: DataFrame) -> Data
     )
 
 
+#: Parts that the rows of one clock hour are dealt to.
+HOUR_PARTS = 32
+
+
 def during_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """Rows whose ``created_at`` lies between start and end of a run, both included.
 
     A run covers a few clock hours; both sides meet on the hour, so the range
-    test is only a residual of an equi join.
+    test is only a residual of an equi join. The rows of an hour are dealt to
+    ``HOUR_PARTS`` parts by all their columns and its runs are copied to each, so an
+    hour that holds most rows is the work of many tasks.
     """
+    parts = F.sequence(F.lit(0), F.lit(HOUR_PARTS - 1))
     hours = F.sequence(
         F.date_trunc("hour", F.col("started_at")), F.date_trunc("hour", F.col("completed_at")),
         F.expr("interval 1 hour"),
@@ -122,12 +129,14 @@ def during_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
     spans = (
         runs.filter("started_at <= completed_at")
         .select("run_id", "started_at", "completed_at", F.explode(hours).alias("_hour"))
+        .withColumn("_part", F.explode(parts))
     )
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(HOUR_PARTS)).cast("int")
     return (
-        rows.withColumn("_hour", F.date_trunc("hour", F.col("created_at")))
-        .join(spans, "_hour")
+        rows.withColumns({"_hour": F.date_trunc("hour", F.col("created_at")), "_part": part})
+        .join(spans, ["_hour", "_part"])
         .filter(F.col("created_at").between(F.col("started_at"), F.col("completed_at")))
-        .drop("_hour", "started_at", "completed_at")
+        .drop("_hour", "_part", "started_at", "completed_at")
     )
 
 

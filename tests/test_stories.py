@@ -343,3 +343,26 @@ def test_the_cluster_list_counts_all_members(spark):
         "cluster_id bigint, article_id bigint, relationship string")
     got = {r["cluster_id"]: r["member_count"] for r in l2(SimpleNamespace(clusters=clusters, members=members)).collect()}
     assert got == {1: 3, 2: 1, 3: 0}
+
+
+def test_an_hour_that_holds_all_claims_is_spread(spark):
+    rng = random.Random(4)
+    second = [rng.randint(0, 3599) for _ in range(3000)]
+    claims = spark.createDataFrame(list(enumerate(second)), "claim_id bigint, s int").select(
+        "claim_id", (F.col("claim_id") % 3).alias("cluster_id"), (F.col("claim_id") % 5).alias("article_id"),
+        F.expr("timestamp_ntz'2024-01-01 10:00:00' + make_interval(0, 0, 0, 0, 0, 0, s)").alias("created_at"),
+    )
+    cover = [(1, 0, 3599), (2, 100, 1800), (3, 1800, 1800), (4, 3000, 2000)]
+    at = "timestamp_ntz'2024-01-01 10:00:00' + make_interval(0, 0, 0, 0, 0, 0, {})"
+    runs = spark.createDataFrame(cover, "run_id bigint, a int, b int").select(
+        "run_id", F.expr(at.format("a")).alias("started_at"), F.expr(at.format("b")).alias("completed_at"))
+    want = {}
+    for run, a, b in cover:
+        for i, s in enumerate(second):
+            if a <= s <= b:
+                want[run, i % 3, i % 5] = want.get((run, i % 3, i % 5), 0) + 1
+    got = reports.claims_per_run(claims, runs)
+    assert {tuple(r)[:3]: r["extracted_claims"] for r in got.collect()} == want
+    parts = claims.select(F.pmod(F.xxhash64(*claims.columns), F.lit(reports.HOUR_PARTS)).alias("p")).groupBy("p").count()
+    assert parts.agg(F.max("count")).first()[0] < 300
+    assert "_part" in got._jdf.queryExecution().optimizedPlan().toString()
