@@ -160,8 +160,10 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def text_steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with about ``CHUNK_BYTES`` of text each, and their bytes."""
+def text_steps(
+    batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = 1 << 30
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with about ``CHUNK_BYTES`` of text and at most ``rows`` rows each, and their bytes."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -169,7 +171,7 @@ def text_steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterato
         at = 0
         while at < batch.num_rows:
             to = int(np.searchsorted(bounds, bounds[at] + CHUNK_BYTES, "right")) - 1
-            to = min(max(to, at + 1), batch.num_rows)
+            to = min(max(to, at + 1), at + rows, batch.num_rows)
             yield batch.slice(at, to - at), data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at]
             at = to
 

@@ -39,6 +39,8 @@ FAMILIES = {
     "indic": ("bn", "gu", "hi", "mr", "ne", "pa", "ur"),
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
+#: Texts that a step holds feature vectors of.
+STEP_ROWS = 512
 LETTERS = np.arange(256, dtype=np.uint8)
 LETTERS[[c for c in range(128) if not chr(c).isalpha()]] = 32
 HAS_LETTER = regex.compile(r"\p{L}").search
@@ -75,7 +77,7 @@ def features(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def lower_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    for batch, _, _ in text_steps(batches):
+    for batch, _, _ in text_steps(batches, rows=STEP_ROWS):
         yield batch, features(*column_bytes(pc.utf8_lower(batch.column("text").cast(pa.large_string()))))
 
 

@@ -37,6 +37,9 @@ RULES = (
 #: What the method itself blocks.
 BLOCKED = ("spam-*/**", "*.spam-*/**", "*casino*/**", "*poker*/**", "**/wp-login.php**", "**/../**")
 
+#: Padded bytes and states that a group of URLs holds.
+GROUP_BYTES = 16 << 20
+
 
 @dataclass(frozen=True)
 class Automaton:
@@ -96,13 +99,28 @@ def compile_globs(patterns: tuple[str, ...]) -> Automaton:
 
 
 def matches(automaton: Automaton, urls: list[bytes]) -> np.ndarray:
-    """Whether each URL (row) matches each pattern (column)."""
+    """Whether each URL (row) matches each pattern (column).
+
+    URLs meet the masks in groups of like length, longest first: the padded bytes and the states
+    of a group stay within ``GROUP_BYTES``, or it is one URL.
+    """
     size = np.array([len(u) for u in urls], np.int64)
     order = np.argsort(-size, kind="stable")
-    longest = int(size.max(initial=0))
+    out = np.empty((len(urls), len(automaton.end)), bool)
+    done = 0
+    while done < len(urls):
+        room = GROUP_BYTES // max(int(size[order[done]]) + automaton.starts.nbytes, 1)
+        some = order[done : done + max(room, 1)]
+        out[some] = simulated(automaton, [urls[i] for i in some], size[some])
+        done += len(some)
+    return out
+
+
+def simulated(automaton: Automaton, urls: list[bytes], ends: np.ndarray) -> np.ndarray:
+    """``matches`` of URLs in falling order of their lengths ``ends``."""
+    longest = int(ends.max(initial=0))
     grid = np.zeros((len(urls), longest), np.uint8)
-    grid[np.arange(longest) < size[:, None]] = np.frombuffer(b"".join(urls), np.uint8)
-    grid, ends = grid[order], size[order]
+    grid[np.arange(longest) < ends[:, None]] = np.frombuffer(b"".join(urls), np.uint8)
     state = np.repeat(automaton.starts[None, :], len(urls), axis=0)
     for i in range(longest):
         n = int(np.searchsorted(-ends, -i, "left"))  # URLs longer than i
@@ -111,10 +129,7 @@ def matches(automaton: Automaton, urls: list[bytes]) -> np.ndarray:
         carry[:, 1:] = d[:, :-1] >> U(63)
         byte = grid[:n, i]
         state[:n] = (((d << U(1)) | carry) & automaton.accepts[byte]) | (d & automaton.loops[byte])
-    bits = np.unpackbits(state.view(np.uint8), axis=1, bitorder="little")[:, automaton.end].astype(bool)
-    out = np.empty_like(bits)
-    out[order] = bits
-    return out
+    return np.unpackbits(state.view(np.uint8), axis=1, bitorder="little")[:, automaton.end].astype(bool)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:

@@ -303,6 +303,21 @@ def test_leaks_equal_alignment_of_all_pairs(spark, monkeypatch):
         k for k in want if k[0] == 1000 or k[0] % 7 == 0}
 
 
+def test_one_long_url_or_many_empty_texts_do_not_fill_a_worker():
+    urls = [b"a.com/x"] * 10_000 + [b"b.com/" + b"y" * 200_000 + b"/wp-login.php", b"", b"spam-x.com/"]
+    automaton = op03_urls.compile_globs(("**/wp-login.php**", "spam-*/**"))
+    tracemalloc.start()
+    found = op03_urls.matches(automaton, urls)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    assert found.sum() == 2 and found[10_000, 0] and found[10_002, 1]
+    assert not op03_urls.matches(automaton, [b"", b""]).any() and op03_urls.matches(automaton, []).shape == (0, 2)
+    tracemalloc.reset_peak()
+    batch = pa.record_batch([pa.array(["", None] * 5000)], ["text"])
+    assert sum(len(x) for _, x in op01_language.lower_steps(iter([batch]))) == 10_000
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
 def test_items_that_share_a_pair_are_not_all_met(spark):
     shared = [f"{' '.join(words(6, i))} of the {' '.join(words(6, 9000 + i))}" for i in range(4000)]
     bench = spark.createDataFrame([(i, x) for i, x in enumerate(shared)], "item_id bigint, text string")
