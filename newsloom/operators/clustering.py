@@ -13,7 +13,18 @@ from pyspark.sql.types import StructType
 
 from newsloom.functions.text import let
 from newsloom.functions.vectors import cosine
-from newsloom.operators.neighbours import BLOCK_BYTES, TILE, nearest, unit_rows, vector_bytes
+from newsloom.operators.neighbours import (
+    BLOCK_BYTES,
+    NOWHERE,
+    SLACK,
+    TILE,
+    Pivots,
+    angles,
+    choose_pivots,
+    in_cells,
+    nearest,
+    unit_rows,
+)
 from newsloom.session import cut_lineage
 from newsloom.settings import Settings
 
@@ -80,6 +91,7 @@ def assign_to_centroids(
         active.select(F.col("cluster_id").alias("target_id"), "model", F.col("centroid").alias("vector")),
         1,
         block_bytes,
+        settings.similarity_threshold,
     )
     hit = best.filter(F.col("similarity") >= settings.similarity_threshold).select(
         F.col("query_id").alias("article_id"), F.col("target_id").alias("cluster_id"), "similarity"
@@ -186,40 +198,92 @@ def _forest(ids: np.ndarray, left: np.ndarray, right: np.ndarray, offset: int, c
     return [(int(h), int(i)) for h, i in zip(heads[label], ids, strict=True) if h != i]
 
 
+def bordered(vectors: DataFrame, threshold: float, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, pd.DataFrame, Pivots]:
+    """``vectors(id, model, vector)`` with home cell and visited cells, and the rows of each cell.
+
+    Let t be the angle of ``threshold``. If y is within t of an x at home with pivot p, then p is at most
+    2t farther from y than y's own pivot, and at most t farther than the radius of p's cell. Of two cells,
+    rows of the higher one visit the lower one, so every linked pair meets in exactly one cell.
+    """
+    pivots = choose_pivots(vectors, block_bytes)
+    placed = in_cells(vectors, pivots).filter(F.col("cell") != NOWHERE)
+    homes = placed.groupBy("model", "cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n_home")).toPandas()
+    radius = {m: np.full(len(p), -np.inf) for m, p in pivots.of.items()}
+    for r in homes.itertuples():
+        radius[r.model][r.cell] = r.radius
+    reach = math.acos(max(-1.0, min(1.0, threshold)))
+    shared = vectors.sparkSession.sparkContext.broadcast((pivots.of, radius))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots_of, radius_of = shared.value
+        for batch in batches:
+            for model, group in batch.groupby("model", sort=False):
+                to = angles(unit_rows(group["vector"]), pivots_of[model])
+                limit = np.minimum(group["angle"].to_numpy()[:, None] + 2 * reach, radius_of[model][None] + reach)
+                open_ = to <= limit + SLACK
+                homes_of = group["cell"].to_numpy()
+                visits = [np.flatnonzero(row[:home]).tolist() for row, home in zip(open_, homes_of, strict=True)]
+                yield group.drop(columns="angle").assign(visits=visits)
+
+    out = cut_lineage(
+        placed.mapInPandas(run, "id bigint, model string, vector array<double>, cell int, visits array<int>")
+    )
+    guests = out.select("model", F.explode("visits").alias("cell")).groupBy("model", "cell").agg(F.count("*").alias("n_guests"))
+    cells = homes[["model", "cell", "n_home"]].merge(guests.toPandas(), on=["model", "cell"], how="left")
+    return out, cells.fillna({"n_guests": 0}).astype({"n_guests": "int64"}), pivots
+
+
+def pairs_compared(cells: pd.DataFrame) -> int:
+    """Pairs that ``similar_edges`` multiplies, to be held against n (n - 1) / 2."""
+    return int((cells["n_home"] * (cells["n_home"] - 1) // 2 + cells["n_home"] * cells["n_guests"]).sum())
+
+
 def similar_edges(vectors: DataFrame, threshold: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Edges ``(a, b)`` whose components are those of ``cosine >= threshold`` within a model.
 
-    Rows ``(id, model, vector)`` are hashed into blocks of their model and each
-    pair of blocks is one task. A task
-    compares its rows with matrix products but returns only a spanning forest:
-    fewer edges than rows, however many pairs are similar.
+    Rows ``(id, model, vector)`` meet in the cells of ``bordered`` only. A cell's rows are dealt to blocks
+    of about ``block_bytes`` and each pair of blocks, at least one of them at home, is one task; small
+    cells share a task and are compared one by one. A task compares its rows with matrix products but returns only a spanning forest: fewer edges than rows,
+    however many pairs are similar. Zero vectors have no edges; ``threshold`` is above 0.
     """
-    size, _ = vector_bytes(vectors)
-    blocks = max(1, math.ceil(size / block_bytes))
-    home = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    spread = (
-        vectors.select("id", "model", "vector", home.alias("home"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .withColumn("i", F.least("home", "other"))
-        .withColumn("j", F.greatest("home", "other"))
+    if threshold <= 0:
+        raise ValueError("a threshold of 0 or less would link zero vectors to everything")
+    placed, cells, pivots = bordered(vectors, threshold, block_bytes)
+    cells = cells.assign(bin=pivots.bins(cells["n_home"], cells["n_guests"], block_bytes))
+    blocks = [
+        (r.model, int(r.cell), r.Index, r.bin, pivots.parts(r.n_home, block_bytes), pivots.parts(r.n_guests, block_bytes) if r.n_guests else 0)
+        for r in cells.itertuples()
+    ]
+    by_cell = F.broadcast(vectors.sparkSession.createDataFrame(blocks, "model string, cell int, slot int, bin int, h int, g int"))
+
+    def at(n: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+
+    # Block numbers below h are at home, those from h are guests; a home block meets all, a guest block home blocks.
+    row = placed.select("id", "model", "vector", "cell").join(by_cell, ["model", "cell"]).withColumn("block", at("h"))
+    home = row.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("h") + F.col("g") - 1)))
+    row = placed.select("id", "model", "vector", F.explode("visits").alias("cell")).join(by_cell, ["model", "cell"])
+    guest = row.withColumn("block", F.col("h") + at("g")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
+    spread = home.unionByName(guest).select(
+        "id", "vector", "slot", "bin", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        left, right = group[group["home"] == i], group[group["home"] == j]
+    def edges_of(group: pd.DataFrame, i: int, j: int) -> list[tuple]:
+        left, right = group[group["block"] == i], group[group["block"] == j]
         if i == j:
             ids, a = left["id"].to_numpy(), unit_rows(left["vector"])
-            edges = _forest(ids, a, a, 0, threshold)
-        elif left.empty or right.empty:
-            edges = []
-        else:
-            ids = np.concatenate([left["id"].to_numpy(), right["id"].to_numpy()])
-            edges = _forest(
-                ids, unit_rows(left["vector"]), unit_rows(right["vector"]), len(left), threshold
-            )
+            return _forest(ids, a, a, 0, threshold)
+        if left.empty or right.empty:
+            return []
+        ids = np.concatenate([left["id"].to_numpy(), right["id"].to_numpy()])
+        return _forest(ids, unit_rows(left["vector"]), unit_rows(right["vector"]), len(left), threshold)
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        edges = [e for _, cell in group.groupby("slot") for e in edges_of(cell, i, j)]
         return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 
-    return spread.groupBy("model", "i", "j").applyInPandas(run, "a bigint, b bigint")
+    return spread.groupBy("bin", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -267,7 +331,7 @@ def graph_cluster(
         articles = articles.withColumn("model", F.lit(""))
     rest = articles.filter(~clusterable(articles)).select("article_id", F.lit(None).cast("bigint").alias("cluster_id"))
     articles = articles.filter(clusterable(articles)).withColumn("model", F.coalesce("model", F.lit("")))
-    nodes = articles.groupBy("model", "vector").agg(F.min("article_id").alias("id"))
+    nodes = cut_lineage(articles.groupBy("model", "vector").agg(F.min("article_id").alias("id")))
     components = connected_components(nodes.select("id"), similar_edges(nodes, threshold, block_bytes))
     nonzero = F.exists("vector", lambda x: x != 0)
     placed = (

@@ -1,108 +1,305 @@
-"""Exact nearest vectors: matrix products over Arrow batches, Spark moves the blocks."""
+"""Exact nearest vectors by metric cells: pivots, angles, and matrix products within a cell.
+
+A vector lives in the cell of its nearest pivot. Angles between vectors obey the triangle
+inequality, so the angle of a vector to a pivot, less the radius of that pivot's cell, is a
+lower bound of its angle to every vector of the cell; cells whose bound is too large are
+never visited. The plan is the same at every size: only pivots and one row of figures a cell
+reach the driver, and both are bounded by ``block_bytes``.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# How many bytes of vectors one task (or one broadcast) may hold.
+from newsloom.session import cut_lineage
+
+# How many bytes of vectors one side of a task (or all pivots) may hold.
 BLOCK_BYTES = 32 << 20
 TILE = 2048
+PIVOTS = 1024
+
+# Arc cosines of nearly equal vectors are wrong by up to the root of the rounding error.
+SLACK = 1e-6
+# The cell of zero vectors: their similarity to everything is 0, so they have no angles.
+NOWHERE = -1
 
 RESULT = "query_id bigint, target_id bigint, similarity double"
+PLACED = "id bigint, model string, vector array<double>, cell int, angle double"
 
 
 def unit_rows(vectors: pd.Series) -> np.ndarray:
-    """Rows scaled to length 1; a zero vector stays zero and matches nothing."""
+    """Rows scaled to length 1; a zero vector stays zero and its similarities are 0."""
     m = np.array(vectors.tolist(), dtype=np.float64)
     length = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
+def angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
+
+
 def top_k(queries: pd.DataFrame, targets: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best targets per query among those of the same model.
+    """The k best targets per query.
 
-    ``targets`` are sorted by id, so that equal similarities go to the lower id.
+    ``targets`` are sorted by id, so that similarities equal to 12 digits go to the lower id.
     """
+    ids, matrix = targets["target_id"].to_numpy(), unit_rows(targets["vector"])
+    keep = min(k, len(ids))
     parts = []
-    for model, group in queries.groupby("model", sort=False):
-        same = targets[targets["model"] == model]
-        if same.empty:
-            continue
-        ids, matrix = same["target_id"].to_numpy(), unit_rows(same["vector"])
-        keep = min(k, len(ids))
-        for at in range(0, len(group), TILE):
-            rows = group.iloc[at : at + TILE]
-            sims = unit_rows(rows["vector"]) @ matrix.T
-            if keep == 1:
-                best = sims.argmax(axis=1)[:, None]
-            else:
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :keep]
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "query_id": np.repeat(rows["query_id"].to_numpy(), keep),
-                        "target_id": ids[best].ravel(),
-                        "similarity": np.take_along_axis(sims, best, axis=1).ravel(),
-                    }
-                )
+    for at in range(0, len(queries), TILE):
+        rows = queries.iloc[at : at + TILE]
+        sims = unit_rows(rows["vector"]) @ matrix.T
+        order = -np.round(sims, 12)
+        if keep == 1:
+            best = order.argmin(axis=1)[:, None]
+        else:
+            best = np.argsort(order, axis=1, kind="stable")[:, :keep]
+        parts.append(
+            pd.DataFrame(
+                {
+                    "query_id": np.repeat(rows["query_id"].to_numpy(), keep),
+                    "target_id": ids[best].ravel(),
+                    "similarity": np.take_along_axis(sims, best, axis=1).ravel(),
+                }
             )
-    if not parts:
-        return pd.DataFrame({"query_id": [], "target_id": [], "similarity": []})
+        )
     return pd.concat(parts, ignore_index=True)
 
 
-def vector_bytes(df: DataFrame) -> tuple[int, int]:
-    """(bytes, rows) of a vector table, measured."""
-    row = df.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    return 8 * row["n"] * (row["d"] or 0), row["n"]
+def nonzero(vector: str = "vector"):
+    return F.exists(vector, lambda x: x != 0)
+
+
+@dataclass
+class Pivots:
+    """Unit pivots of each model, and the bytes of the longest vector."""
+
+    of: dict[str, np.ndarray]
+    row_bytes: int
+
+    def parts(self, rows: int, block_bytes: int) -> int:
+        """Blocks of at most about ``block_bytes`` that hold so many rows."""
+        return max(1, math.ceil(rows * self.row_bytes / block_bytes))
+
+    def bins(self, left: pd.Series, right: pd.Series, block_bytes: int) -> list[int]:
+        """Cells in turn share the work of a task while neither side holds more than ``block_bytes``."""
+        out, at, a, b = [], -1, math.inf, math.inf
+        for x, y in zip(left * self.row_bytes, right * self.row_bytes, strict=True):
+            if a + x > block_bytes or b + y > block_bytes:
+                at, a, b = at + 1, 0, 0
+            a, b = a + x, b + y
+            out.append(at)
+        return out
+
+
+def choose_pivots(vectors: DataFrame, block_bytes: int = BLOCK_BYTES) -> Pivots:
+    """About 4 sqrt(n) vectors of each model, in hash order of their ids.
+
+    ``vectors(id, model, vector)``. All pivots together stay under ``block_bytes`` (at least one a
+    model; models are names of embedding versions), and a model has at most ``PIVOTS``. Any choice
+    gives the same result; it only decides how many pairs are compared.
+    """
+    known = vectors.filter(nonzero())
+    models = known.groupBy("model").agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).collect()
+    row_bytes = 8 * max((r["d"] for r in models), default=1)
+    n = sum(r["n"] for r in models)
+    wanted = min(PIVOTS, 4 * math.isqrt(n) + 1, block_bytes // (row_bytes * max(1, len(models))))
+    first = Window.partitionBy("model").orderBy(F.xxhash64("id"), "id")
+    chosen = (
+        known.withColumn("_n", F.row_number().over(first))
+        .filter(F.col("_n") <= max(1, wanted))
+        .orderBy("model", "_n")
+        .select("model", "vector")
+        .toPandas()
+    )
+    return Pivots({m: unit_rows(g["vector"]) for m, g in chosen.groupby("model")}, row_bytes)
+
+
+def in_cells(vectors: DataFrame, pivots: Pivots) -> DataFrame:
+    """``vectors(id, model, vector)`` with the cell of the nearest pivot and the angle to it."""
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots.of)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for model, group in batch.groupby("model", sort=False):
+                group = group.assign(cell=NOWHERE, angle=0.0)
+                if model in shared.value:
+                    unit = unit_rows(group["vector"])
+                    to = angles(unit, shared.value[model])
+                    some = unit.any(axis=1)
+                    group["cell"] = np.where(some, to.argmin(axis=1), NOWHERE)
+                    group["angle"] = np.where(some, to.min(axis=1), 0.0)
+                yield group[["id", "model", "vector", "cell", "angle"]]
 
-def nearest(queries: DataFrame, targets: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    return vectors.select("id", "model", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(run, PLACED)
+
+
+@dataclass
+class Meeting:
+    """What meets in the cells: queries with the cells they visit, placed targets, rows of both by cell."""
+
+    queries: DataFrame
+    targets: DataFrame
+    cells: pd.DataFrame
+
+    @property
+    def compared(self) -> int:
+        """Pairs that are multiplied, to be held against all queries times all targets."""
+        return int((self.cells["n_queries"] * self.cells["n_targets"]).sum())
+
+
+def meeting(
+    queries: DataFrame, targets: DataFrame, k: int, at_least: float = -1.0, block_bytes: int = BLOCK_BYTES
+) -> tuple[Meeting, Pivots]:
+    """Which cells each query has to visit for its k best targets of similarity ``at_least`` or more.
+
+    A cell offers one target at most its least angle away from the pivot, and its others at most its
+    radius away; the k-th best offer of all cells is an upper bound of the query's k-th best angle. A cell
+    is visited if its lower bound does not pass that.
+    """
+    pivots = choose_pivots(targets, block_bytes)
+    placed = in_cells(targets, pivots)
+    figures = (
+        placed.groupBy("model", "cell")
+        .agg(F.min("angle").alias("least"), F.max("angle").alias("radius"), F.count("*").alias("n_targets"))
+        .toPandas()
+    )
+    reach = math.acos(max(-1.0, min(1.0, at_least)))
+    known = {}
+    for model, rows in figures.groupby("model"):
+        n = len(pivots.of.get(model, ()))
+        radius, inner, zeros = np.full(n, -np.inf), np.full((n, k), np.inf), np.zeros(0)
+        for r in rows.itertuples():
+            held = min(k, r.n_targets)
+            if r.cell == NOWHERE:
+                zeros = np.full(held, math.pi / 2)
+            else:
+                radius[r.cell], inner[r.cell, :held] = r.radius, r.radius
+                inner[r.cell, 0] = r.least
+        known[model] = radius, inner, zeros
+    shared = queries.sparkSession.sparkContext.broadcast((pivots.of, known))
+
+    def visits(model: str, vectors: pd.Series) -> list[list[int]]:
+        pivots_of, cells_of = shared.value
+        if model not in cells_of:
+            return [[] for _ in range(len(vectors))]
+        radius, inner, zeros = cells_of[model]
+        out = []
+        step = max(1, (4 << 20) // max(1, inner.size))
+        for at in range(0, len(vectors), step):
+            unit = unit_rows(vectors.iloc[at : at + step])
+            bound = np.full(len(unit), reach)
+            to = angles(unit, pivots_of[model]) if model in pivots_of else np.zeros((len(unit), 0))
+            offers = (to[:, :, None] + inner[None]).reshape(len(unit), -1)
+            offers = np.concatenate([offers, np.broadcast_to(zeros, (len(unit), len(zeros)))], axis=1)
+            if offers.shape[1] >= k:
+                bound = np.minimum(bound, np.partition(offers, k - 1, axis=1)[:, k - 1])
+            open_ = to - radius <= bound[:, None] + SLACK
+            blank = len(zeros) > 0
+            for i, row in enumerate(open_):
+                if not unit[i].any():
+                    out.append([])
+                    continue
+                cells = np.flatnonzero(row).tolist()
+                if blank and math.pi / 2 <= bound[i] + SLACK:
+                    cells.append(NOWHERE)
+                out.append(cells)
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for model, group in batch.groupby("model", sort=False):
+                yield group.assign(cells=visits(model, group["vector"]))
+
+    doubles = F.col("vector").cast("array<double>").alias("vector")
+    routed = cut_lineage(
+        queries.select("query_id", "model", doubles).mapInPandas(
+            run, "query_id bigint, model string, vector array<double>, cells array<int>"
+        )
+    )
+    visited = (
+        routed.select("model", F.explode("cells").alias("cell")).groupBy("model", "cell").agg(F.count("*").alias("n_queries"))
+    )
+    cells = visited.toPandas().merge(figures[["model", "cell", "n_targets"]], on=["model", "cell"])
+    return Meeting(routed, placed, cells), pivots
+
+
+def nearest(
+    queries: DataFrame, targets: DataFrame, k: int, block_bytes: int = BLOCK_BYTES, at_least: float = -1.0
+) -> DataFrame:
     """E4. For every query its k most similar targets of the same model.
 
-    ``queries(query_id, model, vector)``, ``targets(target_id, model, vector)``.
-    Targets that fit ``block_bytes`` (measured, not assumed) are broadcast and
-    queries never move. Beyond that both sides are cut into hashed blocks; each
-    task multiplies one query block with one target block, keeps k rows per
-    query, and a per-query limit merges the blocks. Both ways are exact. Rows
-    without a vector or a model have no neighbours.
+    ``queries(query_id, model, vector)``, ``targets(target_id, model, vector)``. Targets are placed
+    in metric cells and queries visit the cells that can hold one of their k best (``meeting``); a
+    task multiplies a block of a cell's queries with a block of its targets, or a bin of small cells one
+    by one, each side of at most about ``block_bytes``, and a per-query limit merges the blocks. Exact for every block size. Of equal
+    target vectors only the k lowest ids can be an answer, so the others do not travel. Targets less
+    similar than ``at_least`` may be missing. Rows without a vector or a model have no neighbours; a
+    zero vector's similarity to everything is 0, so it gets the lowest ids.
     """
     known = "vector IS NOT NULL AND model IS NOT NULL"
     queries = queries.select("query_id", "model", "vector").filter(known)
-    targets = targets.select("target_id", "model", "vector").filter(known)
-    size, _ = vector_bytes(targets)
-    if size <= block_bytes:
-        local = targets.orderBy("target_id").toPandas()
-        shared = queries.sparkSession.sparkContext.broadcast(local)
+    targets = targets.select(F.col("target_id").alias("id"), "model", "vector").filter(known)
+    twins = Window.partitionBy("model", "vector").orderBy("id")
+    targets = cut_lineage(targets.withColumn("_n", F.row_number().over(twins)).filter(F.col("_n") <= k).drop("_n"))
+    met, pivots = meeting(queries, targets, k, at_least, block_bytes)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield top_k(batch, shared.value, k)
+    spark = queries.sparkSession
+    cells = met.cells.assign(bin=pivots.bins(met.cells["n_queries"], met.cells["n_targets"], block_bytes))
+    parts = [
+        (r.model, int(r.cell), r.Index, r.bin, pivots.parts(r.n_queries, block_bytes), pivots.parts(r.n_targets, block_bytes))
+        for r in cells.itertuples()
+    ]
 
-        return queries.mapInPandas(run, RESULT)
+    def by_cell() -> DataFrame:
+        """One row a cell: fewer bytes than the pivots, which fit ``block_bytes``."""
+        return F.broadcast(
+            spark.createDataFrame(parts, "model string, cell int, slot int, bin int, q_parts int, t_parts int")
+        )
 
-    query_size, _ = vector_bytes(queries)
-    t_blocks = math.ceil(size / block_bytes)
-    q_blocks = max(1, math.ceil(query_size / block_bytes))
+    def block(key: str, n: str):
+        return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
 
-    def block(key: str, n: int):
-        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    q = queries.withColumn("qb", block("query_id", q_blocks)).withColumn("tb", every(t_blocks))
-    t = targets.withColumn("tb", block("target_id", t_blocks)).withColumn("qb", every(q_blocks))
+    q = (
+        met.queries.select("query_id", "model", "vector", F.explode("cells").alias("cell"))
+        .join(by_cell(), ["model", "cell"])
+        .withColumn("qb", block("query_id", "q_parts"))
+        .withColumn("tb", every("t_parts"))
+        .drop("q_parts", "t_parts")
+    )
+    t = (
+        met.targets.select(F.col("id").alias("target_id"), "model", "vector", "cell")
+        .join(by_cell(), ["model", "cell"])
+        .withColumn("tb", block("target_id", "t_parts"))
+        .withColumn("qb", every("q_parts"))
+        .drop("q_parts", "t_parts")
+    )
 
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return top_k(left, right.sort_values("target_id"), k)
+        here = dict(list(right.sort_values("target_id").groupby("slot")))
+        found = [top_k(rows, here[slot], k) for slot, rows in left.groupby("slot") if slot in here]
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "target_id": [], "similarity": []})
+
+    keys = ["bin", "qb", "tb"]
+    found = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(pair, RESULT)
+    best = Window.partitionBy("query_id").orderBy(F.round("similarity", 12).desc(), "target_id")
+    ranked = found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
 
-    found = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(pair, RESULT)
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "target_id")
-    return found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
+    lowest = Window.partitionBy("model").orderBy("id")
+    first = (
+        targets.select("model", F.col("id").alias("target_id"), F.row_number().over(lowest).alias("_n"))
+        .filter(F.col("_n") <= k)
+        .drop("_n")
+    )
+    blank = queries.filter(~nonzero()).select("query_id", "model").join(F.broadcast(first), "model")
+    return ranked.unionByName(blank.select("query_id", "target_id", F.lit(0.0).alias("similarity")))

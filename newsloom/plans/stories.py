@@ -93,7 +93,7 @@ def e4(v):
 
 @query("e4_knn_blocked", _KNN)
 def e4_blocked(v):
-    """The same through block pairs, as for a target table beyond the broadcast bound."""
+    """The same with few pivots and cells cut into many blocks."""
     found = neighbours.nearest(vector_queries(v), centroid_targets(v), 3, block_bytes=16 << 10)
     return found.withColumn("similarity", F.round("similarity", 6))
 

@@ -41,6 +41,39 @@ def test_nearest_is_exact_both_ways(spark, block_bytes):
         assert got[i] == [j for _, j in sorted(same)[:3]]
 
 
+def test_nearest_of_ties_zero_vectors_and_missing_models(spark):
+    t = vectors(4, 25) + [[0.0] * 8] * 4 + [vectors(4, 25)[3]] * 9
+    q = vectors(4, 12) + [[0.0] * 8, None, vectors(4, 25)[3], [-x for x in vectors(4, 25)[5]]]
+    qs = spark.createDataFrame(
+        [(i, None if i == 1 else "lonely" if i == 2 else "m", v) for i, v in enumerate(q)],
+        "query_id bigint, model string, vector array<double>")
+    ts = spark.createDataFrame(
+        [(j, "m", v) for j, v in enumerate(t)] + [(99, "m", None), (98, None, t[0])],
+        "target_id bigint, model string, vector array<double>")
+    for block_bytes in (1 << 20, 500):
+        got = {}
+        for r in neighbours.nearest(qs, ts, 4, block_bytes).collect():
+            got.setdefault(r["query_id"], set()).add(r["target_id"])
+        want = {}
+        for i, v in enumerate(q):
+            if v is not None and i not in (1, 2):
+                want[i] = {j for _, j in sorted((-round(cos(v, w), 12), j) for j, w in enumerate(t))[:4]}
+        assert got == want
+    assert neighbours.nearest(qs, ts.limit(0), 4).isEmpty() and neighbours.nearest(qs.limit(0), ts, 4).isEmpty()
+    near = neighbours.nearest(qs, ts, 1, at_least=0.9).filter("similarity >= 0.9").collect()
+    assert {r["query_id"] for r in near} == {
+        i for i, v in enumerate(q) if v is not None and i not in (1, 2) and max(cos(v, w) for w in t) >= 0.9}
+
+
+def test_cells_compare_few_of_all_pairs(spark):
+    vs = vectors(11, 3000, dim=32, centres=60, noise=0.05)
+    df = spark.createDataFrame([(i, "m", v) for i, v in enumerate(vs)], "id bigint, model string, vector array<double>")
+    met, _ = neighbours.meeting(df.withColumnRenamed("id", "query_id"), df, 3)
+    assert 0 < met.compared < 0.1 * 3000**2
+    _, cells, _ = clustering.bordered(df, 0.9)
+    assert 0 < clustering.pairs_compared(cells) < 0.1 * 3000 * 2999 / 2
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 900])
 def test_graph_clusters_are_the_components(spark, block_bytes):
     vs = vectors(3, 60, noise=0.6) + [vectors(3, 60, noise=0.6)[0]] * 20 + [[0.0] * 8, [0.0] * 8]
