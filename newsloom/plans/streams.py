@@ -61,19 +61,63 @@ def m1(v):
     return kept.select(F.col("item_order").alias("page_id"))
 
 
-@query(
-    "m2_stream_usage",
-    "SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, count(*) AS page_views FROM v_usage GROUP BY 1",
-)
-def m2(v):
-    folder = place(v, "m2")
-    stream = jobs.usage_stream(StreamViews(v, "events").usage, "40 days")
+def counted(v: Views, name: str, stream: DataFrame) -> DataFrame:
+    """The last complete result of a stream that is counted over several micro-batches."""
+    folder = place(v, name)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/v{batch_id + 1}")
 
     last = run(stream, each, folder, "complete")
-    return v.spark.read.parquet(f"{folder}/v{last}").select(F.to_date("start").alias("day"), "page_views")
+    return v.spark.read.parquet(f"{folder}/v{last}")
+
+
+_COUNTS = "count(*) AS page_views, count(DISTINCT visitor_hash) AS unique_visitors, count(DISTINCT user_id) AS signed_in_users"
+
+
+@query("m2_stream_usage", f"SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, {_COUNTS} FROM v_usage GROUP BY 1")
+def m2(v):
+    found = counted(v, "m2", jobs.usage_stream(StreamViews(v, "events").usage, "40 days"))
+    return found.withColumn("start", F.to_date("start")).withColumnRenamed("start", "day")
+
+
+@query(
+    "m2_stream_usage_sliding",
+    f"""
+SELECT strftime(start, '%Y-%m-%d %H') AS start, {_COUNTS} FROM (
+  SELECT *, unnest([time_bucket(INTERVAL 12 HOURS, created_at), time_bucket(INTERVAL 12 HOURS, created_at) - INTERVAL 12 HOURS]) AS start
+  FROM v_usage) GROUP BY ALL""",
+)
+def m2_sliding(v):
+    """Days that begin every twelve hours."""
+    found = counted(v, "m2-sliding", jobs.usage_stream(StreamViews(v, "events").usage, "40 days", "1 day", "12 hours"))
+    return found.withColumn("start", F.date_format("start", "yyyy-MM-dd HH"))
+
+
+@query(
+    "m2_merged_weeks",
+    f"SELECT strftime(date_trunc('week', created_at), '%Y-%m-%d') AS week, {_COUNTS} FROM v_usage GROUP BY 1",
+)
+def m2_weeks(v):
+    """Weeks from the stored daily sketches: a visitor of several days counts once."""
+    days = counted(v, "m2-days", jobs.usage_windows(StreamViews(v, "events").usage, "40 days"))
+    weeks = jobs.usage_counts(days, F.date_trunc("week", "start"))
+    return weeks.withColumn("start", F.date_format("start", "yyyy-MM-dd")).withColumnRenamed("start", "week")
+
+
+@query(
+    "m2_stream_sessions",
+    """
+SELECT visitor_hash, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS started_at,
+  strftime(max(created_at) + INTERVAL 6 HOURS, '%Y-%m-%d %H:%M:%S') AS ended_at, count(*) AS page_views FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY visitor_hash ORDER BY created_at, event_id) AS visit FROM (
+    SELECT *, CASE WHEN created_at <= lag(created_at) OVER (PARTITION BY visitor_hash ORDER BY created_at, event_id) + INTERVAL 6 HOURS
+      THEN 0 ELSE 1 END AS fresh FROM v_usage)) GROUP BY visitor_hash, visit""",
+)
+def m2_sessions(v):
+    """Visits with pauses of six hours at most."""
+    found = counted(v, "m2-sessions", jobs.usage_sessions(StreamViews(v, "events").usage, "40 days", "6 hours"))
+    return found.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("started_at", "ended_at")})
 
 
 @query(
