@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import round_to
+
 
 def persist_list(items: DataFrame, folder: str, regenerate: bool = False) -> DataFrame:
     """A13. Store user-day lists under ``folder``, one partition per ``list_date``.
@@ -50,9 +52,10 @@ def read_lists(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
 
 def export_csv(df: DataFrame, folder: str) -> None:
     """A14. CSV with a header, numbers with three decimals, nulls blank; written by
-    every task in parallel."""
+    every task in parallel. Float noise is dropped first, so a sum just below a tie
+    rounds as the tie does, whatever the order of its terms."""
     columns = [
-        F.format_string("%.3f", c).alias(c) if t in ("double", "float") else F.col(c).cast("string").alias(c)
+        F.format_string("%.3f", round_to(F.col(c), 3)).alias(c) if t in ("double", "float") else F.col(c).cast("string").alias(c)
         for c, t in df.dtypes
     ]
     rows = df.select(*[F.when(F.col(c).isNotNull(), x).alias(c) for c, x in zip(df.columns, columns, strict=True)])
