@@ -77,7 +77,7 @@ _COUNTS = "count(*) AS page_views, count(DISTINCT visitor_hash) AS unique_visito
 
 @query("m2_stream_usage", f"SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, {_COUNTS} FROM v_usage GROUP BY 1")
 def m2(v):
-    found = counted(v, "m2", jobs.usage_stream(StreamViews(v, "events").usage, "40 days"))
+    found = jobs.usage_counts(counted(v, "m2", jobs.usage_windows(StreamViews(v, "events").usage, "40 days")))
     return found.withColumn("start", F.to_date("start")).withColumnRenamed("start", "day")
 
 
@@ -90,7 +90,8 @@ SELECT strftime(start, '%Y-%m-%d %H') AS start, {_COUNTS} FROM (
 )
 def m2_sliding(v):
     """Days that begin every twelve hours."""
-    found = counted(v, "m2-sliding", jobs.usage_stream(StreamViews(v, "events").usage, "40 days", "1 day", "12 hours"))
+    halves = jobs.usage_windows(StreamViews(v, "events").usage, "40 days", "1 day", "12 hours")
+    found = jobs.usage_counts(counted(v, "m2-sliding", halves))
     return found.withColumn("start", F.date_format("start", "yyyy-MM-dd HH"))
 
 
@@ -99,7 +100,7 @@ def m2_sliding(v):
     f"SELECT strftime(date_trunc('week', created_at), '%Y-%m-%d') AS week, {_COUNTS} FROM v_usage GROUP BY 1",
 )
 def m2_weeks(v):
-    """Weeks from the stored daily sketches: a visitor of several days counts once."""
+    """Weeks from the stored days: a visitor of several days counts once."""
     days = counted(v, "m2-days", jobs.usage_windows(StreamViews(v, "events").usage, "40 days"))
     weeks = jobs.usage_counts(days, F.date_trunc("week", "start"))
     return weeks.withColumn("start", F.date_format("start", "yyyy-MM-dd")).withColumnRenamed("start", "week")
