@@ -250,3 +250,20 @@ def test_a_list_may_be_longer_than_ten(spark):
     pool = spark.createDataFrame(
         rows, "user_id bigint, article_id bigint, target_count int, target_minutes int, reading_minutes int, total_score double")
     assert [r["article_id"] for r in scoring.budgeted_select(pool).orderBy("rank").collect()] == list(range(12))
+
+
+def test_candidates_meet_users_without_a_shuffle_of_their_product(spark):
+    """Users and menu are dealt to cells once; scoring and the walk stay there, so only the sides travel."""
+    users = features.clamp_user_targets(spark.range(300).select(
+        F.col("id").alias("user_id"), F.lit(10).alias("daily_list_length"), F.lit(9).alias("minutes_per_article")))
+    rows = spark.range(400).select(
+        F.col("id").alias("article_id"), F.lit(1).alias("source_id"), (200 + F.col("id")).alias("word_count"),
+        F.to_timestamp_ntz(F.lit("2024-01-30 10:00:00")).alias("published_at"), F.to_timestamp_ntz(F.lit("2024-01-30 10:00:00")).alias("discovered_at"),
+        F.lit("t").alias("title"), F.lit("").alias("rss_summary"), F.lit("c").alias("content_text"))
+    scored = scoring.article_scores(rows, S, clock.instant(NOW))
+    feats = rows.select("article_id", F.lit("k").alias("feature_type"), (F.col("article_id") % 90).cast("string").alias("feature_value"), F.lit(1.0).alias("confidence"))
+    prefs = spark.range(300).select(
+        F.col("id").alias("user_id"), F.lit("k").alias("feature_type"), (F.col("id") % 90).cast("string").alias("feature_value"), F.lit(1.0).alias("score"), F.lit(0.5).alias("confidence"))
+    plan = scoring.select_lists(users, scored, feats, prefs, S)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("SortMergeJoin [minutes_per_article")]
+    assert "Exchange" not in above and "Window" in above
