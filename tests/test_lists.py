@@ -255,7 +255,7 @@ def test_a_list_may_be_longer_than_ten(spark):
 def test_candidates_meet_users_without_a_shuffle_of_their_product(spark):
     """Users and menu are dealt to cells once; scoring and the walk stay there, so only the sides travel."""
     users = features.clamp_user_targets(spark.range(300).select(
-        F.col("id").alias("user_id"), F.lit(10).alias("daily_list_length"), F.lit(9).alias("minutes_per_article")))
+        F.col("id").alias("user_id"), F.lit(10).alias("daily_list_length"), (F.col("id") % 4 + 7).cast("int").alias("minutes_per_article")))
     rows = spark.range(400).select(
         F.col("id").alias("article_id"), F.lit(1).alias("source_id"), (200 + F.col("id")).alias("word_count"),
         F.to_timestamp_ntz(F.lit("2024-01-30 10:00:00")).alias("published_at"), F.to_timestamp_ntz(F.lit("2024-01-30 10:00:00")).alias("discovered_at"),

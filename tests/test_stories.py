@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 from dataclasses import replace
 
 import numpy as np
@@ -399,3 +400,22 @@ def test_an_hour_that_holds_all_claims_is_spread(spark):
     parts = claims.select(F.pmod(F.xxhash64(*claims.columns), F.lit(reports.HOUR_PARTS)).alias("p")).groupBy("p").count()
     assert parts.agg(F.max("count")).first()[0] < 300
     assert "_part" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_groups_meet_a_long_run_once_and_runs_are_not_broadcast(spark):
+    rng = random.Random(8)
+    stamps = [(i, i % 4, rng.randint(0, 6 * 86400)) for i in range(300)]
+    at = "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, {})"
+    claims = spark.createDataFrame(stamps, "claim_id bigint, article_id bigint, s int").select(
+        "claim_id", "article_id", F.lit(1).alias("cluster_id"), F.expr(at.format("s")).alias("created_at"))
+    cover = [(r, a, a + rng.choice([0, 60, 30000, 90000, 400000])) for r, a in enumerate(rng.sample(range(5 * 86400), 40))]
+    cover += [(90 + i, s, s) for i, (_, _, s) in enumerate(stamps[:3])]
+    runs = spark.createDataFrame(cover, "run_id bigint, a int, b int").select(
+        "run_id", F.expr(at.format("a")).alias("started_at"), F.expr(at.format("b")).alias("completed_at"))
+    want = Counter((r, k) for r, a, b in cover for _, k, s in stamps if a <= s <= b)
+    got = reports.claims_per_run(claims, runs)
+    assert {(r["run_id"], r["article_id"]): r["extracted_claims"] for r in got.collect()} == want
+    assert got.count() == len(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+    assert "Exchange" not in plan[: plan.index("SortMergeJoin [_day")]
