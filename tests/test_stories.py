@@ -419,3 +419,26 @@ def test_groups_meet_a_long_run_once_and_runs_are_not_broadcast(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan
     assert "Exchange" not in plan[: plan.index("SortMergeJoin [_day")]
+
+
+def test_claims_of_one_vector_meet_as_one_row(spark):
+    """Cosines are made per pair of articles and vectors; scores equal those of every pair of claims."""
+    rng = random.Random(12)
+    rows = [(1, a, 10 * a + i, " ".join(rng.sample(["a", "b", "c", "d", "e"], rng.randint(0, 4))), [float(a + 1), 1.0] if i else None)
+            for a in range(4) for i in range(3)]
+    claims = spark.createDataFrame(rows, "cluster_id int, article_id int, claim_id int, claim_text string, vector array<double>")
+    members = spark.createDataFrame([(1, a, a, "coverage") for a in range(4)], "cluster_id int, article_id int, publisher_id int, relationship string")
+
+    def score(x, y):
+        s, t = set(x[3].split()), set(y[3].split())
+        words = len(s & t) / len(s | t) if s | t else 0.0
+        if x[4] is None or y[4] is None:
+            return 0.2 * words
+        cos = sum(p * q for p, q in zip(x[4], y[4])) / math.sqrt(sum(p * p for p in x[4]) * sum(q * q for q in y[4]))
+        return 0.8 * (cos + 1) / 2 + 0.2 * words
+
+    out = evidence.claim_pairs(claims, members)
+    got = {(r["left_claim_id"], r["right_claim_id"]): r["score"] for r in out.collect()}
+    assert got == pytest.approx({(x[2], y[2]): score(x, y) for x in rows for y in rows if x[1] < y[1]})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join Inner") and "left_terms" not in plan
