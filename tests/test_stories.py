@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import PIECE, SPACE, SPACE_CHARACTERS, collapse, strip
 from newsloom.operators import clustering, evidence, grounding, neighbours, quality, reports, retrieval
 from newsloom.settings import Settings
 
@@ -271,6 +272,22 @@ def test_best_excerpt_is_the_best_window(spark):
     assert got[1][1] and got[2] == (0, False) and got[4] == (0, False) and set(got) == {1, 2, 4}
 
 
+def test_excerpt_windows_are_cut_once(spark):
+    docs = spark.createDataFrame([(1, "a b", "a")], "doc_id int, text string, query string")
+    plan = retrieval.best_excerpt(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(text") == 1
+
+
+def test_pieces_and_spaces_equal_the_plain_patterns(spark):
+    rng = random.Random(5)
+    rows = [("".join(rng.choices(list(SPACE_CHARACTERS) + list("  \n\nabZ!~äßж\u200b\u0000\U0001f600"), k=rng.randrange(25))),) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "text string").select(
+        F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)).alias("a"),
+        F.regexp_extract_all("text", F.lit(f"[{SPACE}]*[^{SPACE}]+"), F.lit(0)).alias("b"),
+        collapse(F.col("text")).alias("c"), strip(F.regexp_replace("text", f"[{SPACE}]+", " ")).alias("d"))
+    assert df.filter("a <> b or c <> d").isEmpty() and df.filter("size(a) > 3").count() > 100
+
+
 def test_pairs_of_a_hot_story_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(evidence, "PAIR_BLOCK", 16)
     claims = [(1 if i % 3 else 2, i % 7, i, f"term{i % 11} word{i % 5}", [1.0, float(i % 4)] if i % 6 else None) for i in range(210)]
