@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,46 +133,54 @@ def claim_recall(expected: DataFrame, predicted: DataFrame) -> DataFrame:
     """K6. Expected claims matched one to one, first free match in order.
 
     ``expected(article_id, expected_id, required_terms)``,
-    ``predicted(article_id, claim_id, claim_text, excerpt)``. Matching tests run
-    in Spark; only the ids of matching pairs reach the greedy walk, which is
-    sequential within one article (30 claims at most).
+    ``predicted(article_id, claim_id, claim_text, excerpt)``. Texts and terms are normalized in
+    Spark; the greedy walk is sequential within one article and gets its claims, never the pairs
+    of them: a set of terms is looked up once in each text at most, as it goes on where it last matched.
     """
     text = normalized(F.concat_ws(" ", "claim_text", "excerpt"))
-    spoken = predicted.select("article_id", "claim_id", text.alias("spoken"))
-    matches = (
-        expected.join(spoken, "article_id")
-        .filter(F.forall("required_terms", lambda t: F.contains(F.col("spoken"), normalized(t))))
-        .select("article_id", "expected_id", "claim_id")
-    )
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
+    # Articles are spread before their texts are normalized: a file may hold most of the claims.
+    spoken = predicted.filter("article_id IS NOT NULL").withColumnRenamed("article_id", "_of").repartition("_of").select(
+        F.col("_of"), "claim_id", text.alias("spoken"))
+    asked = expected.repartition("article_id").select(
+        "article_id", "expected_id", F.transform("required_terms", normalized).alias("terms"))
+
+    def walk(asked: pa.Table, spoken: pa.Table) -> pa.Table:
+        said = zip(spoken["claim_id"].to_pylist(), spoken["spoken"].to_pylist(), strict=True)
+        heard = sorted((c, x) for c, x in said if c is not None)
+        claims, texts = [c for c, _ in heard], [x for _, x in heard]
+        after: dict[tuple, int] = {}
         taken: set[int] = set()
-        pairs = []
-        for expected_id, rows in group.sort_values(["expected_id", "claim_id"]).groupby("expected_id"):
-            free = next((c for c in rows["claim_id"] if c not in taken), None)
-            if free is not None:
-                taken.add(free)
-                pairs.append((group["article_id"].iloc[0], expected_id, free))
-        return pd.DataFrame(pairs, columns=["article_id", "expected_id", "claim_id"])
-
-    matched = (
-        matches.groupBy("article_id")
-        .applyInPandas(walk, "article_id bigint, expected_id bigint, claim_id bigint")
-        .groupBy("article_id").agg(F.count("*").alias("n_matched"))
-    )
-    n_expected = expected.groupBy("article_id").agg(F.count("*").alias("n_expected"))
-    n_predicted = predicted.groupBy("article_id").agg(F.count("*").alias("n_predicted"))
-    zero = F.lit(0).cast("bigint")
-    return (
-        n_expected.join(n_predicted, "article_id", "left")
-        .join(matched, "article_id", "left")
-        .select(
-            "article_id", "n_expected",
-            F.coalesce("n_predicted", zero).alias("n_predicted"),
-            F.coalesce("n_matched", zero).alias("n_matched"),
-        )
-        .withColumn("recall", ratio(F.col("n_matched"), F.col("n_expected")))
-        .withColumn("match_precision", ratio(F.col("n_matched"), F.col("n_predicted")))
+
+        def first_free(terms: tuple) -> int:
+            """Where the first free claim with all terms stands; claims are never freed, so a set only moves on."""
+            at = after.get(terms, 0)
+            while at < len(texts) and (claims[at] in taken or not all(t in texts[at] for t in terms)):
+                at += 1
+            after[terms] = at
+            return at
+
+        wanted: dict[int, set[tuple]] = {}
+        for expected_id, t in zip(asked["expected_id"].to_pylist(), asked["terms"].to_pylist(), strict=True):
+            if expected_id is not None and t is not None and None not in t:
+                wanted.setdefault(expected_id, set()).add(tuple(sorted(set(t))))
+        matched = 0
+        for expected_id in sorted(wanted):
+            at = min(map(first_free, wanted[expected_id]))
+            if at < len(texts):
+                taken.add(claims[at])
+                matched += 1
+        some = min(1, len(asked))
+        counts = {"n_expected": len(asked), "n_predicted": len(spoken), "n_matched": matched}
+        return pa.table({
+            "article_id": asked["article_id"].slice(0, 1).cast(pa.int64()),
+            **{name: pa.array([n] * some, pa.int64()) for name, n in counts.items()},
+        })
+
+    found = asked.groupBy("article_id").cogroup(spoken.groupBy("_of")).applyInArrow(
+        walk, "article_id bigint, n_expected bigint, n_predicted bigint, n_matched bigint"
+    )
+    return found.withColumn("recall", ratio(F.col("n_matched"), F.col("n_expected"))).withColumn(
+        "match_precision", ratio(F.col("n_matched"), F.col("n_predicted"))
     )
 
 

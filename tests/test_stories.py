@@ -350,6 +350,38 @@ def test_claim_recall_is_one_to_one(spark):
     assert (row["n_matched"], row["recall"], row["match_precision"]) == (1, pytest.approx(1 / 3), 0.5)
 
 
+def test_claim_recall_equals_the_walk_over_all_pairs(spark):
+    rng = random.Random(8)
+    words = ["red", "green", "blue", "gre", "sky", ""]
+    expected = [(a, i % 25, rng.choice([None, [], [rng.choice(words), None], rng.choices(words, k=1), rng.choices(words, k=2)]))
+                for a in (1, 2, 3, None) for i in range(30)]
+    predicted = [(a, i, " ".join(rng.choices(words, k=2)).title(), rng.choice([None, "x  sky"])) for a in (1, 2, 4, None) for i in range(20)]
+    want = {}
+    for a in (1, 2, 3, None):
+        own = [r for r in expected if r[0] == a]
+        said = [] if a is None else [(c, " ".join(" ".join(x for x in (t, e) if x is not None).lower().split())) for b, c, t, e in predicted if b == a]
+        taken = set()
+        for e in sorted({r[1] for r in own}):
+            free = [c for c, x in said if c not in taken and any(
+                r[2] is not None and None not in r[2] and all(t in x for t in r[2]) for r in own if r[1] == e)]
+            taken |= set(free[:1])
+        want[a] = (len(own), len(said), len(taken))
+    out = quality.claim_recall(
+        spark.createDataFrame(expected, "article_id bigint, expected_id bigint, required_terms array<string>"),
+        spark.createDataFrame(predicted, "article_id bigint, claim_id bigint, claim_text string, excerpt string"))
+    assert {r["article_id"]: (r["n_expected"], r["n_predicted"], r["n_matched"]) for r in out.collect()} == want
+
+
+def test_claim_recall_of_a_long_article_makes_no_pairs(spark):
+    n = 3000
+    rows = spark.createDataFrame([(1, i) for i in range(n)], "article_id bigint, id bigint")
+    expected = rows.select("article_id", F.col("id").alias("expected_id"), F.array(F.lit("common")).alias("required_terms"))
+    predicted = rows.select("article_id", F.col("id").alias("claim_id"), F.lit("Common words").alias("claim_text"), F.lit("x").alias("excerpt"))
+    out = quality.claim_recall(expected, predicted)
+    assert out.first()["n_matched"] == n
+    assert shuffled_rows(out) <= 2 * n and "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_range_join_includes_both_ends(spark):
     def at(df):
         return df.withColumns({c: F.to_timestamp_ntz(c) for c in df.columns if c.endswith("_at")})
