@@ -22,6 +22,7 @@ def persist_list(items: DataFrame, folder: str, regenerate: bool = False) -> Dat
     spark = items.sparkSession
     stored = read_lists(spark, folder, items)
     keys = ["user_id", "list_date"]
+    items = cut_lineage(items)  # its dates and its rows are read apart
     dates = items.select("list_date").distinct()
     same_dates = stored.join(dates, "list_date", "left_semi")
     if regenerate:

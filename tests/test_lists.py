@@ -267,3 +267,19 @@ def test_candidates_meet_users_without_a_shuffle_of_their_product(spark):
     plan = scoring.select_lists(users, scored, feats, prefs, S)._jdf.queryExecution().executedPlan().toString()
     above = plan[: plan.index("SortMergeJoin [minutes_per_article")]
     assert "Exchange" not in above and "Window" in above
+
+
+def test_lists_are_made_where_users_and_menu_are_dealt(spark, monkeypatch):
+    """A second shuffle by fewer columns would be sized by the small sides, and a few tasks would sort all candidates on disk."""
+    monkeypatch.setattr(scoring, "USERS_A_BLOCK", 40)
+    users = features.clamp_user_targets(spark.range(300).select(
+        F.col("id").alias("user_id"), F.lit(10).alias("daily_list_length"), (F.col("id") % 4 + 7).cast("int").alias("minutes_per_article")))
+    scored = scoring.article_scores(article(spark), S, clock.instant(NOW))
+    feats = spark.createDataFrame([(1, "k", "v", 1.0)], "article_id bigint, feature_type string, feature_value string, confidence double")
+    prefs = spark.createDataFrame([(1, "k", "v", 1.0, 0.5)], "user_id bigint, feature_type string, feature_value string, score double, confidence double")
+    lists = scoring.select_lists(users, scored, feats, prefs, S)
+    assert lists.count() == 300
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    join = plan[plan.index("SortMergeJoin [minutes_per_article"):]
+    dealt = [line for line in join.splitlines() if "Exchange hashpartitioning(minutes_per_article" in line and "_block" in line]
+    assert dealt and all("REPARTITION_BY_NUM" in line for line in dealt)
