@@ -4,10 +4,11 @@
    phrase of ``PHRASE`` words of each window. Equal windows have equal anchors.
 2. Anchors named by two documents recur. Their words are fetched in a second pass, for anchors
    whose bit is set in a field of ``FIELD`` bits, and confirmed: one row a phrase, however often it occurs.
-3. The confirmed phrases are dealt to shards of ``PHRASES``. Each shard is sent to all tasks, which
-   compile it into an Aho-Corasick automaton over letters of word hashes and stream all documents
-   through it, map-side: no text moves. Windows whose anchor is located give fingerprints.
-   This is one pass over the texts for each shard: passes grow with what repeats.
+3. The confirmed phrases are compiled into Aho-Corasick automata over letters of word hashes, and all documents
+   are streamed through them. Windows whose anchor is located give fingerprints. What fits one small automaton
+   is sent to all tasks, map-side. More are dealt to shards of at most some ``PHRASES`` by anchor hash; the anchors of every document,
+   as letters, go to the shard that alone could hold them, in one pass. What is located there sets bits in a field of
+   ``FIELD`` bits, by which a second pass finds the windows again: two passes, however many shards. No text moves.
 4. The smallest document of each fingerprint is found by one shuffle of fingerprints; windows of larger documents
    that share it are removed. Only the texts of documents whose doc_id has its
    bit set in a field of those that lose words are shuffled, once, to meet their windows.
@@ -22,11 +23,12 @@ gets its own result, equal rows equal ones. Rows with a null doc_id remove and l
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ PHRASES = 1 << 17
 FIELD = 1 << 26
 #: Parts that the field is gathered in.
 PARTS = 64
+#: Least number of shards that phrases are dealt to, for the sake of many tasks.
+SHARDS = 64
 
 
 def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,6 +120,10 @@ def is_set(field: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (field[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def sent_field(rows: DataFrame, key: str) -> Broadcast:
+    return rows.sparkSession.sparkContext.broadcast(field_of(rows.select(F.col(key).alias("key"))))
+
+
 def letters_of(words: Words) -> np.ndarray:
     """Two letters of six bits for each word. Small alphabets keep an automaton's nodes narrow; what
     words share letters by chance is told apart by the fingerprints."""
@@ -123,9 +131,9 @@ def letters_of(words: Words) -> np.ndarray:
     return np.column_stack([h >> U(40) & U(63), h >> U(50) & U(63)]).astype(np.uint8)
 
 
-def confirmed(docs: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
-    """(phrase, letters): the distinct word sequences of recurring anchors."""
-    sent = docs.sparkSession.sparkContext.broadcast(field_of(recurring.select(F.col("phrase").alias("key"))))
+def confirmed(docs: DataFrame, recurring: DataFrame, window: int, sent: Broadcast | None = None) -> DataFrame:
+    """(phrase, letters): the distinct word sequences of recurring anchors; ``sent`` is their field, if it is there already."""
+    sent = sent or sent_field(recurring, "phrase")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, bounds in text_steps(batches):
@@ -145,43 +153,48 @@ def confirmed(docs: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
     return found.join(recurring, "phrase", "left_semi").distinct()
 
 
-#: Automata of this worker process: the last shard's only.
+def compiled(phrases: list[bytes]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for phrase in phrases:
+        out.add_word(phrase.decode("latin-1"))
+    out.make_automaton()
+    return out
+
+
+#: Automata of this worker process: the last one only.
 _compiled: dict[str, ahocorasick.Automaton] = {}
 
 
 def automaton(name: str, phrases: list[bytes]) -> ahocorasick.Automaton:
-    """The automaton of a shard, compiled once a worker."""
+    """The automaton of all phrases, compiled once a worker."""
     if name not in _compiled:
         _compiled.clear()
-        out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for phrase in phrases:
-            out.add_word(phrase.decode("latin-1"))
-        out.make_automaton()
-        _compiled[name] = out
+        _compiled[name] = compiled(phrases)
     return _compiled[name]
 
 
 def locate(found: ahocorasick.Automaton, letters: np.ndarray) -> np.ndarray:
     """Whether a phrase of the automaton starts at a word."""
     per = letters.shape[1]
-    at = np.array([end - length + 1 for end, length in found.iter(letters.tobytes().decode("latin-1"))], np.int64)
     out = np.zeros(len(letters), bool)
+    if not len(found):
+        return out
+    at = np.array([end - length + 1 for end, length in found.iter(letters.tobytes().decode("latin-1"))], np.int64)
     out[at[at % per == 0] // per] = True
     return out
 
 
-def located(docs: DataFrame, name: str, phrases: list[bytes], window: int) -> DataFrame:
-    """Runs of windows whose anchor the automaton locates: doc_id, hash, first window and the fingerprints."""
-    sent = docs.sparkSession.sparkContext.broadcast(phrases)
+def windows_at(docs: DataFrame, window: int, chosen: Callable[[pa.RecordBatch, Words, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Runs of windows whose anchor is ``chosen`` by batch, words, and the windows' documents, anchor words and hashes:
+    doc_id, hash, first window and the fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = automaton(name, sent.value)
         for batch, data, bounds in text_steps(batches):
             words = Words(data, bounds)
-            begin, doc, word, _ = anchors(words, window)
+            begin, doc, word, low = anchors(words, window)
             if not len(begin):
                 continue
-            take = np.flatnonzero(locate(own, letters_of(words))[word])
+            take = np.flatnonzero(chosen(batch, words, doc, word, low))
             if not len(take):
                 continue
             begin, doc = begin[take], doc[take]
@@ -199,6 +212,79 @@ def located(docs: DataFrame, name: str, phrases: list[bytes], window: int) -> Da
     return docs.mapInArrow(run, "doc_id bigint, hash bigint, at int, w0 array<bigint>, w1 array<int>")
 
 
+def located(docs: DataFrame, name: str, phrases: list[bytes], window: int) -> DataFrame:
+    """Runs of windows whose anchor the one automaton of all ``phrases`` locates."""
+    sent = docs.sparkSession.sparkContext.broadcast(phrases)
+    return windows_at(docs, window, lambda batch, words, doc, word, low: locate(automaton(name, sent.value), letters_of(words))[word])
+
+
+def place_of(doc_id: np.ndarray, text: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Key of a word of a document, by its number from the document's first."""
+    return mix(mix(doc_id.view(U)) ^ text.view(U)) + word.astype(U)
+
+
+def dealt_anchors(docs: DataFrame, shards: int, window: int) -> DataFrame:
+    """The anchors of all documents, a row for each shard and step of text: their places, and their letters in one string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, bounds in text_steps(batches):
+            words = Words(data, bounds)
+            _, doc, word, low = anchors(words, window)
+            if not len(word):
+                continue
+            new = np.ones(len(word), bool)
+            new[1:] = word[1:] != word[:-1]
+            doc, word, shard = doc[new], word[new], signed(low[new]) % shards
+            order = np.argsort(shard, kind="stable")
+            doc, word = doc[order], word[order]
+            own, size = np.unique(shard, return_counts=True)
+            letters = np.ascontiguousarray(letters_of(words)[word[:, None] + np.arange(PHRASE)])
+            end = np.cumsum(size)
+            place = place_of(batch.column("doc_id").to_numpy()[doc], batch.column("hash").to_numpy()[doc], word - words.first[doc])
+            yield pa.record_batch([
+                pa.array(own), lists(signed(place), size, pa.int64()),
+                pa.array([letters[e - n : e].tobytes() for e, n in zip(end.tolist(), size.tolist(), strict=True)], pa.binary()),
+            ], ["shard", "places", "letters"])
+
+    return docs.mapInArrow(run, "shard bigint, places array<bigint>, letters binary")
+
+
+def located_in_shards(docs: DataFrame, phrase: DataFrame, recurring: Broadcast, shards: int, window: int) -> DataFrame:
+    """Runs of windows whose anchor the automaton of its shard locates. A shard is the work of one task, which holds
+    its automaton and a batch of what is streamed through it. Bits that are set by chance add windows, never a wrong
+    one; a window is added only where the field of ``recurring`` anchors errs too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, phrases, own = None, [], None
+        for batch in batches:
+            for shard, places, letters in zip(*(batch.column(c) for c in ("shard", "places", "letters")), strict=True):
+                if shard.as_py() != now:
+                    now, phrases, own = shard.as_py(), [], None
+                if not places.is_valid:
+                    phrases.append(letters.as_py())
+                    continue
+                if own is None and phrases:
+                    own, phrases = compiled(phrases), []
+                if own is not None:
+                    text = np.frombuffer(letters.as_buffer(), np.uint8).reshape(len(places) * PHRASE, -1)
+                    yield pa.record_batch([places.values.filter(pa.array(locate(own, text)[::PHRASE]))], ["key"])
+
+    rows = phrase.select(
+        F.pmod("phrase", F.lit(shards)).alias("shard"), F.lit(None).cast("array<bigint>").alias("places"), "letters",
+    ).unionAll(dealt_anchors(docs, shards, window))
+    keys = rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", F.isnotnull("places")).mapInArrow(run, "key bigint")
+    sent = sent_field(stored(keys), "key")
+
+    def chosen(batch: pa.RecordBatch, words: Words, doc: np.ndarray, word: np.ndarray, low: np.ndarray) -> np.ndarray:
+        out = is_set(recurring.value, low)
+        doc, word = doc[out], word[out]
+        doc_id, text = (batch.column(c).to_numpy()[doc] for c in ("doc_id", "hash"))
+        out[out] = is_set(sent.value, place_of(doc_id, text, word - words.first[doc]))
+        return out
+
+    return windows_at(docs, window, chosen)
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, phrases: int = PHRASES) -> DataFrame:
     """Words to remove, as (doc_id, hash, spans) with the text's hash; ``to`` null is the end of the text."""
     own = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("hash"))
@@ -212,13 +298,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, phrases: int = PHRASES) -> Da
         mark.join(folded, ["doc_id", "hash"], "left_anti").select("doc_id", F.explode("phrases").alias("phrase"))
         .groupBy("phrase").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("phrase")
     )
-    phrase = stored(confirmed(own, recurring, window))
-    shards = -(-phrase.count() // phrases)
-    shard = F.pmod(F.xxhash64("letters"), F.lit(max(shards, 1)))
-    found = docs.sparkSession.createDataFrame([], "doc_id bigint, hash bigint, at int, w0 array<bigint>, w1 array<int>")
-    for i in range(shards):
-        part = [bytes(r["letters"]) for r in phrase.where(shard == i).select("letters").distinct().collect()]
-        found = found.unionAll(stored(located(own, uuid.uuid4().hex, part, window)))
+    sent = sent_field(recurring, "phrase")
+    phrase = stored(confirmed(own, recurring, window, sent))
+    n = phrase.count()
+    if n > phrases // SHARDS:
+        found = located_in_shards(own, phrase, sent, max(-(-n // phrases), SHARDS), window)
+    else:
+        found = located(own, uuid.uuid4().hex, [bytes(r["letters"]) for r in phrase.select("letters").distinct().collect()], window)
+    found = stored(found)
     each = found.join(folded, ["doc_id", "hash"], "left_anti").select(
         "doc_id", "hash", "at", F.posexplode(F.arrays_zip("w0", "w1")).alias("k", "w")).select(
         "doc_id", "hash", (F.col("at") + F.col("k")).alias("at"), "w.w0", "w.w1")
@@ -236,7 +323,7 @@ def removal(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), window: int
         F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("at").alias("_at"), F.col("whole").alias("_whole"))
     release(docs.sparkSession)  # the shuffles of fingerprints are over before the texts meet their spans
     source = docs.select(*dict.fromkeys([*names, "doc_id", "text"]))
-    sent = docs.sparkSession.sparkContext.broadcast(field_of(gone.select(F.xxhash64("_id").alias("key"))))
+    sent = sent_field(gone.select(F.xxhash64("_id").alias("key")), "key")
     plain = source.columns
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema]
 

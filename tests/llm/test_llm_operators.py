@@ -250,6 +250,26 @@ def test_automaton_locates_what_nothing_named(spark):
     assert not any(doc == 3 for doc, _ in windows)
 
 
+def test_more_phrases_take_no_more_passes(spark, monkeypatch):
+    """Shards of phrases are streamed through in one pass, and find what one automaton of all phrases finds."""
+    rows = [(i, " ".join(words(70, 300 + i // 2) + words(20, 400 + i)), "en", "s", 1) for i in range(24)]
+    docs = spark.createDataFrame(rows, DOCS)
+    steps = []
+    monkeypatch.setattr(op07_substring, "stored", lambda df, keep=op07_substring.stored: steps.append(1) or keep(df))
+
+    def outcome(phrases):
+        steps.clear()
+        out = op07_substring.removal(docs, phrases=phrases)
+        return sorted((r["doc_id"], r["n_removed"], r["kept_text"]) for r in out.collect()), len(steps)
+
+    one, _ = outcome(1 << 17)
+    assert {n for _, n, _ in one} == {0, 70}
+    assert outcome(20)[0] == outcome(2)[0] == one
+    assert outcome(20)[1] == outcome(2)[1]
+    alone = op07_substring.removal(docs.where("doc_id % 2 = 0"))
+    assert {r["n_removed"] for r in alone.collect()} == {0}
+
+
 def test_leaks_are_found_and_clean_texts_left(spark):
     items = [(i, " ".join(words(40, 100 + i))) for i in range(8)] + [(90, None), (91, "two words"), (None, "x y z w v")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
