@@ -542,3 +542,16 @@ def test_claims_of_one_vector_meet_as_one_row(spark):
     assert got == pytest.approx({(x[2], y[2]): score(x, y) for x in rows for y in rows if x[1] < y[1]})
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Join Inner") and "left_terms" not in plan
+
+
+def test_a_run_and_a_group_are_decided_by_two_comparisons(spark):
+    """Arrays of instants are read for pairs of the result only, not for all that share a day."""
+    claims = spark.createDataFrame([(1, 1, 1, "2024-01-01 10:00:00"), (2, 1, 1, "2024-01-02 10:00:00"), (3, 1, 1, "2024-01-02 10:00:00")],
+                                   "claim_id bigint, cluster_id bigint, article_id bigint, t string")
+    runs = spark.createDataFrame([(7, "2024-01-01 11:00:00", "2024-01-02 09:00:00"), (8, "2024-01-01 10:00:00", "2024-01-02 10:00:00")], "run_id bigint, a string, b string")
+    got = reports.claims_per_run(
+        claims.withColumn("created_at", F.to_timestamp_ntz("t")).drop("t"),
+        runs.select("run_id", F.to_timestamp_ntz("a").alias("started_at"), F.to_timestamp_ntz("b").alias("completed_at")))
+    assert [(r["run_id"], r["extracted_claims"]) for r in got.collect()] == [(8, 3)]
+    above = (plan := got._jdf.queryExecution().executedPlan().toString())[: plan.index("SortMergeJoin [_day")]
+    assert "filter(instants" not in above and "_before" in above
